@@ -6,8 +6,8 @@ for each of its bits with that bit left out. Equal whole segments, or equal one-
 whose left-out bits differ, bring each such pair together at least once; pairs are then verified.
 
 Exact copies share a fingerprint and are one row from the start. A group that shares a variant is
-never expanded into pairs: first all of it is compared with one pivot, which merges what is near
-the pivot; then only rows outside their group's leading class are compared with the group.
+never expanded into pairs: first all of it is compared with one pivot, which merges what is near the
+pivot; then, in a large group, only rows outside its leading class are compared with the others.
 """
 
 from __future__ import annotations
@@ -111,12 +111,13 @@ def _near(a: str, b: str, max_bits: int) -> Column:
 
 
 def link_classes(
-    nodes: DataFrame, max_bits: int, verify: Callable[[DataFrame], DataFrame] | None = None
+    nodes: DataFrame, max_bits: int, verify: Callable[[DataFrame], DataFrame] | None = None, large_group: int = 32
 ) -> DataFrame:
     """``(node, root)`` of the nodes that are linked to others; ``nodes`` has ``node, fp`` (longs).
 
     ``verify`` gets candidate pairs ``(a, b)`` of nodes within the bit limit and returns those that
-    are links. Without it the bit limit alone decides.
+    are links. Without it the bit limit alone decides. In groups of ``large_group`` members or more
+    the members of the leading class are compared with the others only.
     """
     verify = verify or (lambda pairs: pairs)
     keyed = nodes.select("node", "fp", F.inline(variants(F.col("fp"), max_bits)))
@@ -133,29 +134,21 @@ def link_classes(
     stars = cut(verify(stars))
     first = cut(components(stars))
 
-    # What is left: pairs across classes, at least one of them outside its group's leading class.
+    # What is left: pairs across classes; in a large group, one of them is outside its leading class.
     sizes = first.groupBy("root").agg(F.count("*").alias("size"))
     placed = first.join(sizes, "root")
     known = nodes.join(placed, "node", "left").select(
         "node", "fp", F.coalesce("root", "node").alias("root"), F.coalesce("size", F.lit(1)).alias("size")
     )
     keyed = cut(known).select("node", "fp", "root", "size", F.inline(variants(F.col("fp"), max_bits)))
-    mixed = (
-        keyed.groupBy("key")
-        .agg(
-            F.min("root").alias("r0"), F.max("root").alias("r1"), F.max_by("root", "size").alias("lead"),
-            F.min("role").alias("k0"), F.max("role").alias("k1"),
-        )
-        .where("r0 <> r1 and (k0 = -1 or k0 <> k1)")
-        .select("key", "lead")
-    )
-    mixed = cut(mixed)
-    left = keyed.join(mixed, "key").where("root <> lead").select("key", F.col("node").alias("a"), F.col("fp").alias("fa"), F.col("root").alias("ra"), F.col("role").alias("ka"))
-    right = keyed.join(mixed.select("key"), "key", "left_semi").select("key", F.col("node").alias("b"), F.col("fp").alias("fb"), F.col("root").alias("rb"), F.col("role").alias("kb"))
+    leads = keyed.groupBy("key").agg(F.count("*").alias("members"), F.max_by("root", "size").alias("lead")).where(F.col("members") >= large_group)
+    held = keyed.join(leads.select(F.col("key").alias("k"), "lead"), F.col("key") == F.col("k"), "left")
+    left = held.where("lead is null or root <> lead").select("key", F.col("node").alias("a"), F.col("fp").alias("fa"), F.col("root").alias("ra"), F.col("role").alias("ka"))
+    right = keyed.select(F.col("key").alias("kr"), F.col("node").alias("b"), F.col("fp").alias("fb"), F.col("root").alias("rb"), F.col("role").alias("kb"))
     rest = (
         left.join(
             right,
-            (left["key"] == right["key"]) & (F.col("ra") != F.col("rb"))
+            (F.col("key") == F.col("kr")) & (F.col("ra") != F.col("rb"))
             & ((F.col("ka") == -1) | (F.col("ka") != F.col("kb"))) & _near("fa", "fb", max_bits),
         )
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
