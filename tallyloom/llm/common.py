@@ -65,6 +65,21 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.struct(doc_id.alias("id"), F.md5(F.coalesce(text, F.lit(""))).alias("digest"))
 
 
+def merge_spans(spans: Column) -> Column:
+    """Sorted array of ``(start, end)`` with overlapping and touching ones merged."""
+    last = lambda seen: F.get(seen, F.size(seen) - 1)
+
+    def step(seen: Column, x: Column) -> Column:
+        grown = F.struct(last(seen)["start"].alias("start"), F.greatest(last(seen)["end"], x["end"]).alias("end"))
+        apart = F.size(seen) == 0
+        return (
+            F.when(apart | F.coalesce(last(seen)["end"] < x["start"], F.lit(True)), F.concat(seen, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end")))))
+            .otherwise(F.concat(F.slice(seen, 1, F.greatest(F.size(seen) - 1, F.lit(0))), F.array(grown)))
+        )
+
+    return F.aggregate(F.sort_array(spans), F.array().cast("array<struct<start:int,end:int>>"), step)
+
+
 # -- vectorised work inside tasks ------------------------------------------------------------
 
 #: Multiplier of the rolling hash. Odd, so that it has an inverse modulo 2**64.

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, row_key
+from .common import ascii_lower, merge_spans, row_key
 
 #: Runs of digits, lower-case letters and non-ASCII characters.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -88,18 +88,9 @@ def contamination(
         F.collect_set(F.when(hit, F.struct("pos", "size"))).alias("hits"),
         F.collect_set(F.when(hit, F.col("items"))).alias("lists"),
     )
-    grown = F.aggregate(
-        F.sort_array("hits"), F.array().cast("array<struct<start:int,end:int>>"),
-        lambda seen, x: F.when(
-            F.coalesce(F.get(seen, F.size(seen) - 1)["end"] >= x["pos"], F.lit(False)),
-            F.concat(
-                F.slice(seen, 1, F.size(seen) - 1),
-                F.array(F.struct(F.get(seen, F.size(seen) - 1)["start"].alias("start"), F.greatest(F.get(seen, F.size(seen) - 1)["end"], x["pos"] + x["size"]).alias("end"))),
-            ),
-        ).otherwise(F.concat(seen, F.array(F.struct(x["pos"].alias("start"), (x["pos"] + x["size"]).alias("end"))))),
-    )
+    ranges = F.transform("hits", lambda x: F.struct(x["pos"].alias("start"), (x["pos"] + x["size"]).alias("end")))
     out = per_row.select(
-        "key", "n_words", F.explode(F.sequence(F.lit(1).cast("long"), (F.col("copies") / passes).cast("long"))).alias("copy"), grown.alias("spans"), F.array_sort(F.array_distinct(F.flatten("lists"))).alias("items")
+        "key", "n_words", F.explode(F.sequence(F.lit(1).cast("long"), (F.col("copies") / passes).cast("long"))).alias("copy"), merge_spans(ranges).alias("spans"), F.array_sort(F.array_distinct(F.flatten("lists"))).alias("items")
     )
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]))
     return out.select(

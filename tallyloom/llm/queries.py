@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, packing, quality, secrets, simhash, toxicity
+from . import decontaminate, language, lines, packing, quality, secrets, simhash, suffixes, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_digest(_table(spark, sf_dir, "documents"))
+
+
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
@@ -41,8 +49,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_best_fit_packing, op4_quality_rules, op5_simhash_near_dedup, op6_decontamination, op7_secret_scan, op8_language_id, op10_toxicity)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_suffix_dedup, op3_best_fit_packing, op4_quality_rules, op5_simhash_near_dedup, op6_decontamination, op7_secret_scan, op8_language_id, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": quality.ORACLE_SQL, "op6_decontamination": decontaminate.ORACLE_SQL}
+    return {"op1_line_dedup": lines.ORACLE_SQL, "op4_quality_rules": quality.ORACLE_SQL, "op6_decontamination": decontaminate.ORACLE_SQL}
