@@ -90,8 +90,9 @@ def contamination(
     )
     ranges = F.transform("hits", lambda x: F.struct(x["pos"].alias("start"), (x["pos"] + x["size"]).alias("end")))
     out = per_row.select(
-        "key", "n_words", F.explode(F.sequence(F.lit(1).cast("long"), (F.col("copies") / passes).cast("long"))).alias("copy"), merge_spans(ranges).alias("spans"), F.array_sort(F.array_distinct(F.flatten("lists"))).alias("items")
+        "key", "n_words", F.sequence(F.lit(1).cast("long"), (F.col("copies") / passes).cast("long")).alias("copies"), merge_spans(ranges).alias("spans"), F.array_sort(F.array_distinct(F.flatten("lists"))).alias("items")
     )
+    out = out.select("*", F.explode("copies"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]))
     return out.select(
         F.col("key.id").alias("doc_id"), F.col("key.digest").alias("digest"), "n_words", n_hit.alias("n_hit"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, lines, packing, quality, secrets, simhash, suffixes, toxicity
+from . import chains, decontaminate, language, lines, packing, quality, secrets, simhash, suffixes, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,12 +44,16 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_languages(_table(spark, sf_dir, "documents"))
 
 
+def op9_substring_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chains.fuzzy_passages(_table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op2_suffix_dedup, op3_best_fit_packing, op4_quality_rules, op5_simhash_near_dedup, op6_decontamination, op7_secret_scan, op8_language_id, op10_toxicity)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_suffix_dedup, op3_best_fit_packing, op4_quality_rules, op5_simhash_near_dedup, op6_decontamination, op7_secret_scan, op8_language_id, op9_substring_chaining, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
