@@ -16,7 +16,7 @@ def _digest_column(xs: Column, ys: Column) -> Column:
         rows = []
         for x, y in zip(a, b, strict=True):
             x, y = (np.asarray(v.values.to_numpy(zero_copy_only=False), ">f8") for v in (x, y))
-            both = np.column_stack([x, y]).tobytes()
+            both = np.column_stack([x, y]).astype(">f8").tobytes()
             rows.append({"x": hashlib.sha256(x.tobytes()).hexdigest(), "y": hashlib.sha256(y.tobytes()).hexdigest(), "xy": hashlib.sha256(both).hexdigest()})
         return pa.array(rows, pa.struct([(n, pa.string()) for n in ("x", "y", "xy")]))
 

@@ -6,6 +6,7 @@ files at once; nothing here loops over files.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,13 +18,12 @@ from tallyloom.operators.order import carry_section
 
 def text_lines(files: DataFrame, content: str = "content", charset: str = "UTF-8") -> DataFrame:
     """``file_id, line_no, line`` of decoded files."""
-    text = F.decode(F.col(content), F.lit(charset)) if charset != "UTF-8" else F.col(content).cast("string")
+    text = F.decode(F.col(content), charset) if charset != "UTF-8" else F.col(content).cast("string")
     return files.select("file_id", F.posexplode(F.split(text, "\r?\n")).alias("line_no", "line"))
 
 
 def korean_text(content: Column) -> Column:
     """Text of CP949 bytes, which the JVM function set doesn't offer; null where they aren't."""
-    import pandas as pd
 
     @F.pandas_udf("string")
     def run(values: pd.Series) -> pd.Series:
@@ -133,11 +133,14 @@ def xml_result(files: DataFrame, content: str = "content") -> tuple[DataFrame, D
 
     The results group and the integration rows describe the same peaks and are paired by position.
     """
-    text = F.regexp_replace(F.decode(F.col(content), F.lit("UTF-16")), r"^﻿?<\?xml[^>]*\?>", "")
+    text = F.regexp_replace(F.decode(F.col(content), "UTF-16"), r"^﻿?<\?xml[^>]*\?>", "")
     doc = F.from_xml(text, _XML.replace("\n", " "), {"ignoreSurroundingSpaces": "false"})
     held = files.select("file_id", doc.alias("d"))
-    pairs = F.arrays_zip(F.col("d.Results.ResultsGroup.Peak").alias("p"), F.col("d.Chromatograms.Signal.IntegrationResults").alias("i"))
-    rows = held.select("file_id", F.col("d.Chromatograms.Signal.SignalId").alias("channel"), F.col("d.Chromatograms.Signal.Detector").alias("detector"), F.posexplode(pairs).alias("pos", "z"))
+    held = held.select(
+        "file_id", F.col("d.Chromatograms.Signal.SignalId").alias("channel"), F.col("d.Chromatograms.Signal.Detector").alias("detector"),
+        F.col("d.Results.ResultsGroup.Peak").alias("p"), F.col("d.Chromatograms.Signal.IntegrationResults").alias("i"),
+    )
+    rows = held.select("file_id", "channel", "detector", F.posexplode(F.arrays_zip("p", "i")).alias("pos", "z"))
     same = F.col("z.p.MeasRetTime._VALUE").eqNullSafe(F.col("z.i.RetTime")) & F.col("z.p.Area._VALUE").eqNullSafe(F.col("z.i.Area")) & F.col("z.p.Height._VALUE").eqNullSafe(F.col("z.i.Height"))
     number = lambda c: L.exact_float(F.col(c))["value"]
     peaks = rows.where(same).select(
