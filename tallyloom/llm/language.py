@@ -71,9 +71,10 @@ def text_profile(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-4, steps: int = 200) -> np.ndarray:
     """Linear support vector machine (squared hinge), by accelerated gradient steps."""
-    w = v = np.zeros(x.shape[1])
-    weight = weight / weight.sum()
-    reach = 2 * float((weight @ (x * x).sum(1))) + penalty
+    w = v = np.zeros(x.shape[1], x.dtype)
+    weight = (weight / weight.sum()).astype(x.dtype)
+    y = y.astype(x.dtype)
+    reach = 2 * float(weight @ np.einsum("ij,ij->i", x, x)) + penalty
     for t in range(steps):
         slack = np.maximum(0, 1 - y * (x @ v))
         step = v - ((-2 * weight * slack * y) @ x + penalty * v) / reach
@@ -161,12 +162,13 @@ def sample_profiles(docs: DataFrame, per_language: int) -> pd.DataFrame:
 def fit_languages(docs: DataFrame, per_language: int = 300) -> LanguageModel:
     """Fit on at most ``per_language`` rows of each language of ``docs (doc_id, text, lang)``."""
     rows = sample_profiles(docs, per_language)
-    x = np.zeros((len(rows), BUCKETS), np.float64)
+    x = np.zeros((len(rows), BUCKETS + 1), np.float32)  # the last column is the bias
     for i, p in enumerate(rows["profile"]):
         n = len(p) // 6
         x[i, np.frombuffer(p[: 2 * n], "<u2")] = np.frombuffer(p[2 * n :], "<f4")
-    scale = 1 / np.sqrt(x.mean(0) + 1e-6) if len(rows) else np.ones(BUCKETS)
-    x = np.hstack([x * scale, np.ones((len(rows), 1))])
+    scale = 1 / np.sqrt(x[:, :-1].mean(0) + 1e-6) if len(rows) else np.ones(BUCKETS)
+    x[:, :-1] *= scale
+    x[:, -1] = 1
     lang = rows["lang"].to_numpy(object)
     names = sorted(set(lang))
     families = tuple(sorted({family_of(n) for n in names}))
@@ -179,7 +181,7 @@ def fit_languages(docs: DataFrame, per_language: int = 300) -> LanguageModel:
         weight = np.where(y > 0, 1 / max(1, (y > 0).sum()), 1 / max(1, (y < 0).sum()))
         return fit_svm(x[rows_in], y, weight)
 
-    everywhere = np.ones(len(rows), bool)
+    everywhere = slice(None)
     if len(families) > 1:
         machines += [machine(everywhere, fam == f) for f in families]
     else:
