@@ -80,6 +80,23 @@ def merge_spans(spans: Column) -> Column:
     return F.aggregate(F.sort_array(spans), F.array().cast("array<struct<start:int,end:int>>"), step)
 
 
+def spread(left: DataFrame, right: DataFrame, key: str, n: str, total: int, row: list[str], hot_share: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """Both sides of an equality join on ``key``, with hot keys dealt over many tasks by ``salt``.
+
+    ``right`` has one row for each key and, in ``n``, the key's number of rows on the left. Keys with
+    a ``hot_share``-th of all ``total`` rows or more are hot: there are ``hot_share`` of them at most,
+    whatever the data, so their list is broadcast. Left rows of a hot key get a salt from a hash of
+    ``row``; its right row is there once for each salt. Join on ``key`` and ``salt``.
+    """
+    salts = max(2, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    hot = F.col(n) * hot_share >= max(total, hot_share)
+    keys = right.where(hot).select(F.col(key).alias("__hot"))
+    salted = left.join(F.broadcast(keys), F.col(key) == F.col("__hot"), "left")
+    salted = salted.withColumn("salt", F.when(F.col("__hot").isNotNull(), F.pmod(F.xxhash64(*row), F.lit(salts))).otherwise(F.lit(0).cast("long"))).drop("__hot")
+    each = F.when(hot, F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    return salted, right.withColumn("salt", F.explode(each))
+
+
 # -- vectorised work inside tasks ------------------------------------------------------------
 
 #: Multiplier of the rolling hash. Odd, so that it has an inverse modulo 2**64.

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import POWERS, SPACE, cut, mix
+from .common import POWERS, SPACE, cut, mix, spread
 
 
 def variant_hashes(line: str, max_edits: int) -> np.ndarray:
@@ -73,7 +73,15 @@ def _line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``doc, at, line`` for each line that has a word; ``doc`` orders and names the row."""
     doc = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("digest"))
     rows = docs.select(doc.alias("doc"), F.posexplode_outer(F.split(F.col(text_col), "\n")).alias("at", "line"))
-    return rows.where(F.col("line").rlike(f"[^{SPACE}]"))
+    return rows.where(F.trim("line", F.lit(" \t\n\x0b\f\r")) != "")
+
+
+def line_facts(docs: DataFrame, id_col: str, text_col: str, max_edits: int, min_chars: int) -> DataFrame:
+    """``doc, at, h, halves`` of each line with a word, written once for all later steps."""
+    lines = _line_table(docs, id_col, text_col)
+    able = (F.length("line") >= min_chars - max_edits) if max_edits == 1 else F.lit(False)
+    halves = F.when(able, _half_keys(F.col("line"))).otherwise(F.array().cast("array<long>"))
+    return cut(lines.select("doc", "at", _line_hash(F.col("line")).alias("h"), halves.alias("halves")))
 
 
 def _line_hash(line: Column) -> Column:
@@ -82,22 +90,20 @@ def _line_hash(line: Column) -> Column:
 
 
 def duplicate_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 1, min_chars: int = 20
+    docs: DataFrame, facts: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 1, min_chars: int = 20
 ) -> DataFrame:
-    """``h, doc, at, near``: each distinct line's hash, its earliest place, and whether an earlier
-    line is within the edit bound.
+    """``h, first, n, near``: each distinct line's hash, its earliest place, how often it stands, and
+    whether an earlier line is within the edit bound. ``facts`` are the documents' ``line_facts``.
 
     Places are ordered by document id, then text digest, then line number; null ids come last.
     Lines under ``min_chars`` characters are compared for equality only.
     """
-    lines = _line_table(docs, id_col, text_col).withColumn("h", _line_hash(F.col("line")))
-    firsts = cut(lines.groupBy("h").agg(F.min(F.struct("doc", "at")).alias("first")))
-    out = firsts.select("h", F.col("first.doc").alias("doc"), F.col("first.at").alias("at"))
+    firsts = cut(facts.groupBy("h").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n")))
     if not max_edits:
-        return out.withColumn("near", F.lit(False))
-    able = lines.where(F.length("line") >= min_chars - max_edits)
+        return firsts.withColumn("near", F.lit(False))
+    able = _line_table(docs, id_col, text_col).where(F.length("line") >= min_chars - max_edits).withColumn("h", _line_hash(F.col("line")))
     if max_edits == 1:
-        halves = able.select(F.col("h.a").alias("ha"), F.explode(_half_keys(F.col("line"))).alias("k"))
+        halves = facts.select(F.col("h.a").alias("ha"), F.explode("halves").alias("k"))
         shared = halves.groupBy("k").agg(F.min("ha").alias("h0"), F.max("ha").alias("h1")).where("h0 <> h1").select("k")
         partnered = cut(halves.join(shared, "k", "left_semi").select("ha").distinct())
         able = able.join(partnered, F.col("h.a") == F.col("ha"), "left_semi")
@@ -106,11 +112,13 @@ def duplicate_lines(
     # Rows that agree in id and text share their places: one of them is enough.
     near = near_lines(cut(able.dropDuplicates(["h"])), max_edits, min_chars)
     near = near.select(F.col("h").alias("nh")).distinct()
-    return out.join(near, F.col("h") == F.col("nh"), "left").select("h", "doc", "at", F.col("nh").isNotNull().alias("near"))
+    return firsts.join(near, F.col("h") == F.col("nh"), "left").select("h", "first", "n", F.col("nh").isNotNull().alias("near"))
 
 
 def near_lines(lines: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
     """Those of the distinct ``lines (h, first, line)`` that an earlier one is within the bound of."""
+    # A row makes as many variants as it has characters: deal the rows over all tasks first.
+    lines = lines.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h")
     keys = cut(lines.select("h", "first", F.explode(deletion_variants(F.col("line"), max_edits)).alias("v")))
     groups = keys.groupBy("v").agg(F.min("first").alias("lead"), F.max("first").alias("last")).where("lead <> last")
     groups = cut(groups.select("v", "lead"))
@@ -124,7 +132,7 @@ def near_lines(lines: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
         long = F.greatest(F.length("line_a"), F.length("line_b")) >= min_chars
         return pairs.where(long & (close >= 0)).select("h").distinct()
 
-    members = keys.join(groups, "v")
+    members = cut(keys.join(groups, "v"))
     found = cut(verified(members.where("first > lead").select("h", F.col("lead").alias("early"))))
     # Members that aren't near their group's earliest one, against the earlier ones of the group.
     open_ = members.where("first > lead").join(found, "h", "left_anti")
@@ -146,11 +154,11 @@ def dedup_lines(
     loses all lines becomes empty. All rows and columns stay; input columns named like the added
     ones are replaced. An empty table gives an empty result.
     """
-    firsts = duplicate_lines(docs, id_col, text_col, max_edits, min_chars)
-    lines = _line_table(docs, id_col, text_col).select("doc", "at", _line_hash(F.col("line")).alias("h"))
-    judged = lines.join(
-        firsts.select(F.col("h").alias("fh"), F.struct("doc", "at").alias("first"), "near"), F.col("h") == F.col("fh")
-    ).where("near or struct(doc, at) <> first")
+    facts = line_facts(docs, id_col, text_col, max_edits, min_chars)
+    firsts = cut(duplicate_lines(docs, facts, id_col, text_col, max_edits, min_chars))
+    # A line that stands once, and isn't near another, stays.
+    lines, firsts = spread(facts.select("doc", "at", "h"), firsts.where("n > 1 or near"), "h", "n", facts.count(), ["doc", "at"])
+    judged = lines.join(firsts, ["h", "salt"]).where("near or struct(doc, at) <> first")
     gone = judged.groupBy("doc").agg(
         F.sort_array(F.collect_set("at")).alias("__gone"),
         F.count_distinct(F.when(F.struct("doc", "at") != F.col("first"), F.col("at"))).alias("__exact"),
