@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, byte_words, cut, merge_spans, range_hashes
+from .common import LOWER_BYTES, byte_words, cut, merge_spans, range_hashes, spread
 
 
 def word_hashes(text: bytes | None) -> np.ndarray:
@@ -74,8 +74,9 @@ def distinct_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def repeated_seeds(suffixes: DataFrame) -> DataFrame:
     """Per text, the positions whose k-mer also stands elsewhere: ``digest, first_doc, spots``."""
     place = F.struct("digest", "pos")
-    repeated = suffixes.groupBy("g").agg(F.min(place).alias("p0"), F.max(place).alias("p1")).where("p0 <> p1").select("g")
-    return suffixes.join(repeated, "g", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.sort_array(F.collect_set("pos")).alias("spots"))
+    repeated = suffixes.groupBy("g").agg(F.min(place).alias("p0"), F.max(place).alias("p1"), F.count("*").alias("n")).where("p0 <> p1")
+    held, repeated = spread(suffixes, cut(repeated.select("g", "n")), "g", "n", suffixes.count(), ["digest", "pos"])
+    return held.join(repeated, ["g", "salt"], "left_semi").groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.sort_array(F.collect_set("pos")).alias("spots"))
 
 
 def _contexts(texts: DataFrame, spots: DataFrame, before: int, after: int) -> DataFrame:
