@@ -55,6 +55,8 @@ def exact_float(lexeme: Column) -> Column:
 
     @F.pandas_udf("value double, code string")
     def slow(values: pd.Series) -> pd.DataFrame:
+        if values.isna().all():
+            return pd.DataFrame({"value": pd.Series([None] * len(values), dtype="float64"), "code": pd.Series([None] * len(values), dtype="object")})
         found = [_slow_float(v if isinstance(v, str) else None) for v in values]
         return pd.DataFrame({"value": pd.Series([v for v, _ in found], dtype="float64"), "code": pd.Series([c for _, c in found], dtype="object")})
 
@@ -65,7 +67,7 @@ def exact_float(lexeme: Column) -> Column:
     plain = is_number_text(text) & (digits <= 15) & (power.between(-200, 200)) & (F.length(text) <= 40)
     quick = F.struct(text.try_cast("double").alias("value"), F.lit(None).cast("string").alias("code"))
     none = F.struct(F.lit(None).cast("double").alias("value"), F.lit(None).cast("string").alias("code"))
-    return F.when(text.isNull(), none).when(plain, quick).otherwise(slow(text))
+    return F.when(text.isNull(), none).when(plain, quick).otherwise(slow(F.when(~plain, text)))
 
 
 def bounded_integer(lexeme: Column) -> Column:

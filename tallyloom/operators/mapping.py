@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyloom.functions import lexemes as L
+
 #: Drift categories in their fixed order.
 CATEGORIES = (
     "column_added", "column_removed", "column_reordered", "header_changed_unresolved", "duplicate_header_changed",
@@ -158,3 +160,54 @@ def fingerprint(content: object, tag: str) -> str:
 def structure_fingerprint(headers: Column) -> Column:
     """A digest of observed headers, for comparing tables with one another."""
     return F.sha2(F.to_json(F.struct(headers.alias("headers"))), 256)
+
+
+#: Containers' usual extensions (fixed values).
+CONTAINERS = {"csv": (".csv",), "tsv": (".tsv",), "semicolon": (".txt",), "xlsx": (".xlsx",)}
+
+
+def container_fits(extension: Column, source_format: Column) -> Column:
+    """Whether a file's extension suits a profile's container."""
+    return F.coalesce(*[F.when(source_format == f, extension.isin(*e)) for f, e in CONTAINERS.items()], F.lit(False))
+
+
+def mapped_peaks(cells: DataFrame, columns: DataFrame, units: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Peaks and faults of user-mapped tables.
+
+    ``cells`` has ``file_id, profile_id, row_no, col_no, lexeme``; ``columns`` the roles by position
+    and ``units (profile_id, retention_time_unit, area_unit)`` the declared units. Blank rows are
+    skipped; retention time and area must be exact finite numbers; any fault fails the file.
+    """
+    roles = ["sample_id", "retention_time", "area", "height", "peak_number", "compound", "detector", "channel"]
+    filled = cells.groupBy("file_id", "row_no").agg(F.count_if(F.col("lexeme") != "").alias("n")).where("n > 0").select("file_id", "row_no")
+    rows = project_roles(cells.join(filled, ["file_id", "row_no"], "left_semi"), columns).groupBy("file_id", "profile_id", "row_no").pivot("role", roles).agg(F.first("lexeme"))
+    number = {r: L.strict_number(F.col(r), required=r in REQUIRED_ROLES) for r in ("retention_time", "area", "height")}
+    text = {r: L.strict_text(F.col(r)) for r in ("sample_id", "compound", "detector", "channel")}
+    typed = rows.select("file_id", "profile_id", "row_no", *[c.alias(r) for r, c in {**number, **text}.items()], L.strict_integer(F.col("peak_number")).alias("peak_number"))
+    checked = [*number, *text, "peak_number"]
+    pairs = F.array(*[F.struct(F.lit(r).alias("field"), F.col(r)["code"].alias("code")) for r in checked])
+    faults = typed.select("file_id", "row_no", F.inline(pairs)).where("code is not null")
+    width = columns.groupBy("profile_id").agg(F.max("position").alias("width"))
+    extra = cells.join(F.broadcast(width), "profile_id").where("col_no > width and lexeme <> ''").select("file_id", "row_no", F.lit(None).cast("string").alias("field"), F.lit("PEAK_MAPPING_EXTRA_CELLS").alias("code")).distinct()
+    empty = cells.select("file_id").distinct().join(rows.select("file_id").distinct(), "file_id", "left_anti").select("file_id", F.lit(None).cast("int").alias("row_no"), F.lit(None).cast("string").alias("field"), F.lit("PEAK_MAPPING_EMPTY_TABLE").alias("code"))
+    faults = faults.unionByName(extra).unionByName(empty)
+    good = typed.join(faults.select("file_id").distinct(), "file_id", "left_anti").join(F.broadcast(units), "profile_id")
+    order = F.row_number().over(Window.partitionBy("file_id", F.col("detector")["value"], F.col("channel")["value"]).orderBy("row_no"))
+    peaks = good.select("file_id", "profile_id", "row_no", *[F.col(r)["value"].alias(r) for r in checked], "retention_time_unit", "area_unit", order.alias("observation_order"))
+    return peaks, faults
+
+
+def mapping_provenance(peaks: DataFrame, profiles: DataFrame, columns: DataFrame) -> DataFrame:
+    """``file_id, key, value`` facts on how a mapped file was read."""
+    about = columns.groupBy("profile_id").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("role") != "IGNORED", F.struct("position", "role")))), lambda x: x["role"]), ";").alias("roles"),
+        F.count_if(F.col("role") == "IGNORED").alias("ignored"),
+    )
+    rows = peaks.groupBy("file_id", "profile_id").agg(F.count("*").alias("rows")).join(F.broadcast(about), "profile_id").join(F.broadcast(profiles.select("profile_id", "source_format")), "profile_id")
+    facts = {"mapping_mode": F.lit("user_profile"), "mapping_profile_id": F.col("profile_id"), "source_format": F.col("source_format"), "mapped_roles": F.col("roles"), "ignored_columns": F.col("ignored").cast("string"), "mapped_rows": F.col("rows").cast("string")}
+    return rows.select("file_id", F.inline(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in facts.items()])))
+
+
+def unused_mapping_notices(routes: DataFrame) -> DataFrame:
+    """A notice for each file that a profile fits but an exact reader owns."""
+    return routes.where("adapter is not null and profile_id is not null").select("file_id", F.lit("MAPPING_NOT_APPLIED").alias("code"), F.lit("warning").alias("severity"))

@@ -99,3 +99,14 @@ def public_view(rows: DataFrame) -> DataFrame:
     """Path columns replaced by the public reference where a row has a ``public_id``."""
     hide = F.col("public_id").isNotNull()
     return rows.withColumns({c: F.when(hide, F.col("public_id")).otherwise(F.col(c)) for c in ("path", "relative_path", "name") if c in rows.columns})
+
+
+def has_marker(content: Column, marker: bytes, within: int = 65_536) -> Column:
+    """Whether the first bytes of a file hold a marker."""
+    return F.contains(F.substring(content, 1, within), F.unhex(F.lit(marker.hex())))
+
+
+def knows_headers(headers: Column, markers: list[str], least: int, rare: str) -> Column:
+    """Whether a header list holds ``least`` known labels or more, the ``rare`` one among them."""
+    known = F.array(*[F.lit(m) for m in markers])
+    return (F.size(F.array_intersect(headers, known)) >= least) & F.array_contains(headers, rare)
