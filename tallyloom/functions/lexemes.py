@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from decimal import Decimal, InvalidOperation
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,6 +34,11 @@ def parse_lexeme(lexeme: Column) -> Column:
     return F.struct(F.when(trimmed != "", trimmed).alias("value"), F.when((trimmed != lexeme) & (trimmed != ""), "PARSE_LEXEME_WHITESPACE_TRIMMED").alias("code"))
 
 
+def _power(text: Column) -> Column:
+    """The power of ten of a number; the cast is tried only on digits, since its failure is slow."""
+    return F.when(text.rlike(r"[eE][+\-]?[0-9]{1,9}$"), F.regexp_extract(text, r"[eE]([+\-]?[0-9]{1,9})$", 1).cast("int")).otherwise(0)
+
+
 def _slow_float(text: str | None) -> tuple[float | None, str | None]:
     if text is None:
         return None, None
@@ -53,21 +58,25 @@ def exact_float(lexeme: Column) -> Column:
     through an Arrow function with decimals.
     """
 
-    @F.pandas_udf("value double, code string")
-    def slow(values: pd.Series) -> pd.DataFrame:
-        if values.isna().all():
-            return pd.DataFrame({"value": pd.Series([None] * len(values), dtype="float64"), "code": pd.Series([None] * len(values), dtype="object")})
-        found = [_slow_float(v if isinstance(v, str) else None) for v in values]
-        return pd.DataFrame({"value": pd.Series([v for v, _ in found], dtype="float64"), "code": pd.Series([c for _, c in found], dtype="object")})
+    @F.arrow_udf("struct<value:double,code:string>")
+    def slow(values: pa.Array) -> pa.Array:
+        kind = pa.struct([("value", pa.float64()), ("code", pa.string())])
+        if values.null_count == len(values):
+            return pa.nulls(len(values), kind)
+        found = [_slow_float(v) for v in values.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([v for v, _ in found], pa.float64()), pa.array([c for _, c in found], pa.string())], ["value", "code"])
 
-    text = stripped(lexeme)
-    text = F.when(text != "", text)
-    digits = F.length(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "[eE].*$", ""), r"[+\-.]", ""), "^0+", ""))
-    power = F.coalesce(F.regexp_extract(text, r"[eE]([+\-]?[0-9]{1,4})$", 1).try_cast("int"), F.lit(0))
-    plain = is_number_text(text) & (digits <= 15) & (power.between(-200, 200)) & (F.length(text) <= 40)
-    quick = F.struct(text.try_cast("double").alias("value"), F.lit(None).cast("string").alias("code"))
-    none = F.struct(F.lit(None).cast("double").alias("value"), F.lit(None).cast("string").alias("code"))
-    return F.when(text.isNull(), none).when(plain, quick).otherwise(slow(F.when(~plain, text)))
+    def sorted_out(text: Column) -> Column:
+        """The trimmed text where it has any, and its double where the cast is sure to be exact."""
+        digits = F.length(F.regexp_replace(F.regexp_replace(text, "[eE].*$", ""), r"[+\-.]|^[+\-]?0+", ""))
+        power = _power(text)
+        plain = is_number_text(text) & (digits <= 15) & power.between(-200, 200) & (F.length(text) <= 40)
+        return F.struct(F.when((text != "") & ~plain, text).alias("odd"), F.when(plain, text.try_cast("double")).alias("value"))
+
+    # The bound variable keeps the text from being trimmed again for each use.
+    found = F.transform(F.array(stripped(lexeme)), sorted_out)[0]
+    quick = F.struct(found["value"].alias("value"), F.lit(None).cast("string").alias("code"))
+    return F.when(found["odd"].isNull(), quick).otherwise(slow(found["odd"]))
 
 
 def bounded_integer(lexeme: Column) -> Column:
@@ -77,7 +86,7 @@ def bounded_integer(lexeme: Column) -> Column:
     """
     text = F.regexp_replace(stripped(lexeme), "(?<=[0-9])_(?=[0-9])", "")
     mantissa = F.regexp_replace(text, "[eE].*$", "")
-    power = F.coalesce(F.regexp_extract(text, r"[eE]([+\-]?[0-9]{1,9})$", 1).try_cast("int"), F.lit(0))
+    power = _power(text)
     parts = F.struct(
         F.when(text != "", text).alias("text"),
         is_number_text(text).alias("number"),
