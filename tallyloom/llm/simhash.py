@@ -61,6 +61,18 @@ def fingerprint_column(text: Column, shingle_words: int) -> Column:
     return run(text)
 
 
+def fingerprint_and_size(text: Column, shingle_words: int) -> Column:
+    """``fp, size``: SimHash of a whole text and the number of its different shingles."""
+
+    @F.arrow_udf("struct<fp:long,size:long>")
+    def run(texts: pa.Array) -> pa.Array:
+        texts = texts.cast(pa.binary()).to_pylist()
+        fps = pa.array([fingerprint(t, shingle_words) for t in texts], pa.int64())
+        return pa.StructArray.from_arrays([fps, pa.array([len(set(shingles(t, shingle_words))) for t in texts], pa.int64())], ["fp", "size"])
+
+    return run(text)
+
+
 def jaccard_column(a: Column, b: Column, shingle_words: int) -> Column:
     """Exact Jaccard similarity of two texts' shingle sets; two wordless texts are alike."""
 
@@ -111,26 +123,28 @@ def _near(a: str, b: str, max_bits: int) -> Column:
 
 
 def link_classes(
-    nodes: DataFrame, max_bits: int, verify: Callable[[DataFrame], DataFrame] | None = None, large_group: int = 32
+    nodes: DataFrame, max_bits: int, verify: Callable[[DataFrame], DataFrame] | None = None, large_group: int = 32, min_ratio: float = 0.0
 ) -> DataFrame:
-    """``(node, root)`` of the nodes that are linked to others; ``nodes`` has ``node, fp`` (longs).
+    """``(node, root)`` of the nodes that are linked to others; ``nodes`` has ``node, fp, weight``
+    (longs). Only nodes whose weights are at least ``min_ratio`` of one another can be linked.
 
     ``verify`` gets candidate pairs ``(a, b)`` of nodes within the bit limit and returns those that
     are links. Without it the bit limit alone decides. In groups of ``large_group`` members or more
     the members of the leading class are compared with the others only.
     """
     verify = verify or (lambda pairs: pairs)
-    keyed = nodes.select("node", "fp", F.inline(variants(F.col("fp"), max_bits)))
+
+    def like(fp_a: str, fp_b: str, w_a: str, w_b: str) -> Column:
+        near = _near(fp_a, fp_b, max_bits)
+        return near & (F.least(w_a, w_b) >= min_ratio * F.greatest(w_a, w_b)) if min_ratio else near
+
+    keyed = nodes.select("node", "fp", "weight", F.inline(variants(F.col("fp"), max_bits)))
 
     # Every member of a group against the group's pivot: a whole segment's pivot is any member, a
     # wildcard group's pivot any member with the bit unset.
-    pivots = keyed.where("role <= 0").groupBy("key").agg(F.max_by("node", "node").alias("pivot"), F.max_by("fp", "node").alias("pivot_fp"))
-    stars = (
-        keyed.where("role <> 0")
-        .join(pivots, (keyed["key"] == pivots["key"]) & (F.col("node") != F.col("pivot")) & _near("fp", "pivot_fp", max_bits))
-        .select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-        .distinct()
-    )
+    pivots = keyed.where("role <= 0").groupBy("key").agg(*[F.max_by(c, "node").alias(f"pivot_{c}") for c in ("node", "fp", "weight")])
+    same = (keyed["key"] == pivots["key"]) & (F.col("node") != F.col("pivot_node")) & like("fp", "pivot_fp", "weight", "pivot_weight")
+    stars = keyed.where("role <> 0").join(pivots, same).select(F.col("node").alias("a"), F.col("pivot_node").alias("b")).distinct()
     stars = cut(verify(stars))
     first = cut(components(stars))
 
@@ -138,18 +152,18 @@ def link_classes(
     sizes = first.groupBy("root").agg(F.count("*").alias("size"))
     placed = first.join(sizes, "root")
     known = nodes.join(placed, "node", "left").select(
-        "node", "fp", F.coalesce("root", "node").alias("root"), F.coalesce("size", F.lit(1)).alias("size")
+        "node", "fp", "weight", F.coalesce("root", "node").alias("root"), F.coalesce("size", F.lit(1)).alias("size")
     )
-    keyed = cut(known).select("node", "fp", "root", "size", F.inline(variants(F.col("fp"), max_bits)))
+    keyed = cut(known).select("node", "fp", "weight", "root", "size", F.inline(variants(F.col("fp"), max_bits)))
     leads = keyed.groupBy("key").agg(F.count("*").alias("members"), F.max_by("root", "size").alias("lead")).where(F.col("members") >= large_group)
     held = keyed.join(leads.select(F.col("key").alias("k"), "lead"), F.col("key") == F.col("k"), "left")
-    left = held.where("lead is null or root <> lead").select("key", F.col("node").alias("a"), F.col("fp").alias("fa"), F.col("root").alias("ra"), F.col("role").alias("ka"))
-    right = keyed.select(F.col("key").alias("kr"), F.col("node").alias("b"), F.col("fp").alias("fb"), F.col("root").alias("rb"), F.col("role").alias("kb"))
+    left = held.where("lead is null or root <> lead").select("key", F.col("node").alias("a"), F.col("fp").alias("fa"), F.col("weight").alias("wa"), F.col("root").alias("ra"), F.col("role").alias("ka"))
+    right = keyed.select(F.col("key").alias("kr"), F.col("node").alias("b"), F.col("fp").alias("fb"), F.col("weight").alias("wb"), F.col("root").alias("rb"), F.col("role").alias("kb"))
     rest = (
         left.join(
             right,
             (F.col("key") == F.col("kr")) & (F.col("ra") != F.col("rb"))
-            & ((F.col("ka") == -1) | (F.col("ka") != F.col("kb"))) & _near("fa", "fb", max_bits),
+            & ((F.col("ka") == -1) | (F.col("ka") != F.col("kb"))) & like("fa", "fb", "wa", "wb"),
         )
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
@@ -172,7 +186,7 @@ def simhash_classes(
     """
     prints = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint_column(F.col(text_col), shingle_words).alias("fp")))
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    roots = link_classes(distinct.select(F.col("fp").alias("node"), "fp"), max_bits)
+    roots = link_classes(distinct.select(F.col("fp").alias("node"), "fp", F.lit(1).cast("long").alias("weight")), max_bits)
     classes = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     named = classes.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = cut(classes.join(named, "root").select("fp", "component_id"))
@@ -186,18 +200,19 @@ def near_duplicates(
     """One row per distinct text: ``text_hash, doc_id, root_hash, keep``.
 
     Texts are linked when their fingerprints differ in at most ``max_bits`` bits and the exact
-    Jaccard similarity of their shingle sets is at least ``min_similarity``. ``doc_id`` is the
+    Jaccard similarity of their shingle sets is at least ``min_similarity`` (pairs whose set sizes
+    rule that out aren't looked at). ``doc_id`` is the
     smallest id with that text; ``keep`` marks the text with the smallest id of its class. Null
     and empty texts count as the same text.
     """
     digest = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.lit(1))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), digest.alias("node"))
-    prints = rows.select("doc_id", "node", fingerprint_column(F.col("text"), shingle_words).alias("fp"))
-    nodes = cut(prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp")))
+    prints = rows.select("doc_id", "node", fingerprint_and_size(F.col("text"), shingle_words).alias("p"))
+    nodes = cut(prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("p.fp").alias("fp"), F.first("p.size").alias("weight")))
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs)
-        involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        involved = pairs.select(F.col("a").alias("node")).distinct().union(pairs.select("b").distinct()).distinct()
         chosen = nodes.join(involved, "node").select(F.col("node").alias("n"), F.col("doc_id").alias("id"))
         # One carrier of each text: the row with the smallest id; its copies fold into it.
         texts = rows.join(chosen, (F.col("node") == F.col("n")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text")
@@ -206,7 +221,7 @@ def near_duplicates(
         scored = pairs.join(a, "a").join(b, "b")
         return scored.where(jaccard_column(F.col("text_a"), F.col("text_b"), shingle_words) >= min_similarity).select("a", "b")
 
-    roots = link_classes(nodes.select("node", "fp"), max_bits, verify)
+    roots = link_classes(nodes.select("node", "fp", "weight"), max_bits, verify, min_ratio=min_similarity)
     classes = nodes.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     # Ties on the id (null or repeated ids) fall to the smaller hash; a null id loses to any other.
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("node"))

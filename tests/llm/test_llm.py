@@ -311,7 +311,7 @@ def test_fingerprint_links_match_brute_force(spark, bits):
         fps.add(x)
     fps = sorted(fps)
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    got = {r["node"]: r["root"] for r in simhash.link_classes(spark.createDataFrame([(x, x) for x in signed], "node long, fp long"), bits, large_group=8).collect()}
+    got = {r["node"]: r["root"] for r in simhash.link_classes(spark.createDataFrame([(x, x, 1) for x in signed], "node long, fp long, weight long"), bits, large_group=8).collect()}
     root = {x: x for x in signed}
 
     def find(x):
