@@ -71,6 +71,7 @@ def ordered_distinct(value: str, place: list[str]) -> Column:
     return F.array_distinct(F.transform(pairs, lambda x: x["__v"]))
 
 
+#: Recorded reasons (fixed values).
 REASONS = {
     "acquired_at": "All successful files have reliable, timezone-aware acquisition times.",
     "sequence": "Acquisition times were incomplete or unreliable; sequence is complete.",
