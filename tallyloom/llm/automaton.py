@@ -129,6 +129,15 @@ def compile_search(patterns: list[bytes]) -> Automaton:
     for k, group in enumerate(members):
         class_of[group] = k
 
+    # Where each state goes on each class, empty edges followed.
+    step: list[dict[int, frozenset[int]]] = [{} for _ in nfa.moves]
+    for s, moves in enumerate(nfa.moves):
+        for on, to in moves:
+            reached = nfa.closure({to})
+            for k, group in enumerate(members):
+                if group[0] in on:
+                    step[s][k] = step[s].get(k, frozenset()) | reached
+
     # Subsets; the start is always among them, so a match may begin at any byte.
     first = nfa.closure({start})
     index: dict[frozenset[int] | None, int] = {first: 0}
@@ -136,9 +145,9 @@ def compile_search(patterns: list[bytes]) -> Automaton:
     todo = [first]
     while todo:
         now, row = todo.pop(), []
-        for group in members:
-            byte = group[0]
-            after = nfa.closure({to for s in now for on, to in nfa.moves[s] if byte in on} | {start})
+        active = [step[s] for s in now if step[s]]
+        for k in range(len(members)):
+            after = first.union(*(t[k] for t in active if k in t))
             key = None if after & ends else after
             if key not in index:
                 index[key] = len(index)
