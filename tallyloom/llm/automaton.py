@@ -167,8 +167,9 @@ def compile_search(patterns: list[bytes]) -> Automaton:
     if accepting >= 0:
         block[accepting] = 1
     while True:
-        _, new = np.unique(np.column_stack([block, block[table]]), axis=0, return_inverse=True)
-        new = new.reshape(-1)
+        seen: dict[bytes, int] = {}
+        marks = np.column_stack([block, block[table]]).astype(np.int32)
+        new = np.array([seen.setdefault(m.tobytes(), len(seen)) for m in marks])
         if new.max() == block.max():
             break
         block = new
