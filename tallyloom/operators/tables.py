@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyloom.functions import text as T
-from tallyloom.functions.shared import cut
 from tallyloom.operators.order import first_seen, global_rank, occurrence_number
 
 PEAK_COLUMNS = (
@@ -235,8 +234,3 @@ def signal_datasets(points: DataFrame, place: list[str]) -> DataFrame:
     firsts = points.groupBy(*key).agg(F.count("*").alias("n_points"), F.min(F.struct(*place)).alias("__first"))
     ranked = global_rank(firsts, [F.col("__first"), *[F.col(k) for k in key]], "series_no").drop("__first")
     return ranked.withColumn("label", F.coalesce("detector", "channel", F.lit("Unknown")))
-
-
-def checked_written(df: DataFrame) -> DataFrame:
-    """A written copy for results that several sinks read."""
-    return cut(df)

@@ -250,7 +250,7 @@ def metadata_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT 7 - 7 + count(*) FILTER (WHERE substr(l_returnflag, 1, 1) IN ('=', '+', '-', '@')) + count(*) FILTER (WHERE substr(l_linestatus, 1, 1) IN ('=', '+', '-', '@')) AS formula_like,
+SELECT count(*) FILTER (WHERE substr(l_returnflag, 1, 1) IN ('=', '+', '-', '@')) + count(*) FILTER (WHERE substr(l_linestatus, 1, 1) IN ('=', '+', '-', '@')) AS formula_like,
   CAST(0 AS BIGINT) AS non_finite, count(*) FILTER (WHERE abs(l_orderkey) >= 1000000000000000) AS exact_integers FROM lineitem""")
 def numeric_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.numeric_safety(A.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_tax", "l_returnflag", "l_linestatus"))
@@ -274,7 +274,6 @@ def series_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- typing ----------------------------------------------------------------------------------
 
-_LEXEMES = ["plain", "padded", "underscored", "suffixed", "blank", "named", "long"]
 _LEX_SQL = """
 WITH v AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, CAST(l_quantity AS BIGINT) AS q, (l_orderkey + l_linenumber) % 7 AS k FROM lineitem)"""
 

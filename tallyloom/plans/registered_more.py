@@ -36,7 +36,7 @@ def formula_safe_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id AS file_id, CASE WHEN doc_id % 3 = 0 THEN 'source-' || sha256(text) WHEN doc_id % 3 = 1 THEN source || '/doc_' || doc_id || '.' || lang ELSE source || '/doc_' || doc_id || '.' || lang END AS reference,
+SELECT doc_id AS file_id, CASE WHEN doc_id % 3 = 0 THEN 'source-' || sha256(text) ELSE source || '/doc_' || doc_id || '.' || lang END AS reference,
   'RUN_' || substr(sha256(text), 1, 16) AS name FROM documents""")
 def public_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = A.document_files(spark, sf_dir)
