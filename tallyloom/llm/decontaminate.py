@@ -124,7 +124,7 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_i
 def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with the hit words cut out of each text; what stands between words stays."""
     joined = _with_spans(docs, benchmark, id_col, text_col, **options)
-    pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+|[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"), F.lit(0))
+    pieces = F.regexp_extract_all(F.col(text_col), F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+|[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"), F.lit(0))
     leads = F.when(F.col(text_col).rlike(r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"), 1).otherwise(0)
 
     def stays(piece: Column, i: Column) -> Column:
