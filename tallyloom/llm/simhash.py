@@ -96,16 +96,27 @@ def _segments(max_bits: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(at, at[1:], strict=False)]
 
 
-def variants(fp: Column, max_bits: int) -> Column:
-    """Array of ``(key, role)``: role -1 for a whole segment, else the value of the left-out bit."""
+def signed(x: int) -> int:
+    """An unsigned 64-bit number as the signed one with the same bits."""
+    return x - (1 << 64) if x >> 63 else x
+
+
+def first_meeting(fp_a: Column, fp_b: Column, segment: Column, max_bits: int) -> Column:
+    """Whether no segment before this one brings two fingerprints together too."""
+    out = F.lit(True)
+    for k, (first, width) in enumerate(_segments(max_bits)[:-1]):
+        apart = F.bit_count(fp_a.bitwiseXOR(fp_b).bitwiseAND(F.lit(signed(((1 << width) - 1) << first)))) > min(1, max_bits)
+        out = out & ((segment <= k) | apart)
+    return out
 
-    def signed(x: int) -> int:
-        return x - (1 << 64) if x >> 63 else x
+
+def variants(fp: Column, max_bits: int) -> Column:
+    """Array of ``(key, role, segment)``: role -1 for a whole segment, else the left-out bit's value."""
 
     def entry(segment: int, wildcard: int, mask: int, role: Column) -> Column:
         masked = fp.bitwiseAND(F.lit(signed(mask)))
         key = F.xxhash64(F.lit(segment * 100 + wildcard), masked)
-        return F.struct(key.alias("key"), role.cast("byte").alias("role"))
+        return F.struct(key.alias("key"), role.cast("byte").alias("role"), F.lit(segment).cast("byte").alias("segment"))
 
     out = []
     for k, (first, width) in enumerate(_segments(max_bits)):
@@ -157,13 +168,16 @@ def link_classes(
     keyed = cut(known).select("node", "fp", "weight", "root", "size", F.inline(variants(F.col("fp"), max_bits)))
     leads = keyed.groupBy("key").agg(F.count("*").alias("members"), F.max_by("root", "size").alias("lead")).where(F.col("members") >= large_group)
     held = keyed.join(leads.select(F.col("key").alias("k"), "lead"), F.col("key") == F.col("k"), "left")
-    left = held.where("lead is null or root <> lead").select("key", F.col("node").alias("a"), F.col("fp").alias("fa"), F.col("weight").alias("wa"), F.col("root").alias("ra"), F.col("role").alias("ka"))
+    left = held.where("lead is null or root <> lead").select("key", F.col("node").alias("a"), F.col("fp").alias("fa"), F.col("weight").alias("wa"), F.col("root").alias("ra"), F.col("role").alias("ka"), "segment", "lead")
     right = keyed.select(F.col("key").alias("kr"), F.col("node").alias("b"), F.col("fp").alias("fb"), F.col("weight").alias("wb"), F.col("root").alias("rb"), F.col("role").alias("kb"))
     rest = (
         left.join(
             right,
             (F.col("key") == F.col("kr")) & (F.col("ra") != F.col("rb"))
-            & ((F.col("ka") == -1) | (F.col("ka") != F.col("kb"))) & like("fa", "fb", "wa", "wb"),
+            & ((F.col("ka") == -1) | (F.col("ka") != F.col("kb"))) & like("fa", "fb", "wa", "wb")
+            # Once for each pair: in the first segment that brings it together, from one side.
+            & first_meeting(F.col("fa"), F.col("fb"), F.col("segment"), max_bits)
+            & (F.coalesce(F.col("rb") == F.col("lead"), F.lit(False)) | (F.col("a") < F.col("b"))),
         )
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
