@@ -205,6 +205,36 @@ def test_best_chain_matches_a_quadratic_search():
         assert abs(len(chain) - cost - max(score.values())) < 1e-9
 
 
+def test_chains_respect_the_gap_as_a_quadratic_search_does():
+    rng = random.Random(12)
+    for _ in range(60):
+        seeds = sorted({(rng.randrange(80), rng.randrange(80)) for _ in range(60)})
+        score = {}
+        for s in seeds:
+            near = [t for t in score if t[0] < s[0] and t[1] < s[1] and s[0] - t[0] <= 9 and s[1] - t[1] <= 9]
+            score[s] = 1 + max([0.0, *(score[t] - 0.05 * (s[0] + s[1] - t[0] - t[1]) for t in near)])
+        found = chains.best_chains(seeds, gap_cost=0.05, max_gap=9)
+        assert sorted(s for c in found for s in c) == seeds
+        assert all(0 < b[0] - a[0] <= 9 and 0 < b[1] - a[1] <= 9 for c in found for a, b in zip(c, c[1:]))
+        cost = sum(0.05 * (b[0] - a[0] + b[1] - a[1]) for a, b in zip(found[0], found[0][1:]))
+        assert abs(len(found[0]) - cost - max(score.values())) < 1e-9
+
+
+@pytest.mark.parametrize("apart", [30, 70, 200, 500, 800, 1500])
+def test_a_long_passage_hides_no_later_one(apart):
+    seeds = [(x, x) for x in range(0, 100, 5)] + [(100 + apart + x, 100 + apart + x) for x in range(0, 100, 5)]
+    found = chains.best_chains(seeds)
+    assert [len(c) for c in found] == ([40] if apart <= 50 else [20, 20])
+
+
+def test_chains_find_both_passages_of_a_pair(spark):
+    rng = random.Random(31)
+    first, second = prose(rng, 100), prose(rng, 100)
+    rows = [(i, f"{prose(rng, 10 * i)} {first} {prose(rng, 200)} {second} {prose(rng, 5)}") for i in (1, 2)]
+    got = chains.fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id = 1").collect()
+    assert sorted((r["start"], r["end"]) for r in got) == [(10, 110), (310, 410)]
+
+
 # -- op3 ----------------------------------------------------------------------------------------
 
 
