@@ -235,6 +235,24 @@ def test_chains_find_both_passages_of_a_pair(spark):
     assert sorted((r["start"], r["end"]) for r in got) == [(10, 110), (310, 410)]
 
 
+def test_chains_lose_no_document_whose_seeds_are_frequent(spark):
+    """Two texts share a passage; every seed of it also stands in short fragments elsewhere."""
+    rng = random.Random(77)
+    rows, pairs = [], []
+    for i in range(100, 112, 2):
+        passage = prose(rng, 60).split()
+        pairs.append({i, i + 1})
+        rows += [(j, f"{prose(rng, 20)} {' '.join(passage)} {prose(rng, 20)}") for j in (i, i + 1)]
+        for at in range(0, 45, 5):
+            rows += [(1000 * i + 10 * at + j, f"{prose(rng, 15)} {' '.join(passage[at : at + 20])} {prose(rng, 15)}") for j in range(i % 3 * 3 + 1)]
+    got = chains.fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [p for p in pairs if not any({r["doc_id"], r["other_doc_id"]} == p and r["end"] - r["start"] >= 60 for r in got)] == []
+
+
+def test_common_seeds_pair_all_positions():
+    assert sorted(chains.common_seeds(([5, 6, 5], [0, 3, 9]), ([5, 7, 5], [2, 4, 8]))) == [(0, 2), (0, 8), (9, 2), (9, 8)]
+
+
 # -- op3 ----------------------------------------------------------------------------------------
 
 
