@@ -83,6 +83,13 @@ def order_matrix(peaks: DataFrame, place: list[str], two_dimensional: bool = Fal
     return rows.groupBy(*key).agg(atoms.alias("peaks"))
 
 
+def order_matrix_long(matrix: DataFrame) -> DataFrame:
+    """One row for each peak of the matrix, with its number ``peak`` in its stream."""
+    rest = [c for c in matrix.columns if c != "peaks"]
+    rows = matrix.select(*rest, F.posexplode("peaks").alias("at", "p"))
+    return rows.select(*rest, (F.col("at") + 1).cast("long").alias("peak"), "p.*")
+
+
 def widen_order_matrix(matrix: DataFrame, n: int) -> DataFrame:
     """The arrays' first ``n`` atoms as columns ``peak_k_<field>``, null where there are fewer."""
     fields = matrix.schema["peaks"].dataType.elementType.fieldNames()

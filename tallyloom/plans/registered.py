@@ -189,6 +189,25 @@ def order_matrix_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.widen_order_matrix(matrix, 3).drop("sample_id", "retention_time_unit", "area_unit", "secondary_retention_time_unit")
 
 
+def _matrix_long_sql(second: bool) -> str:
+    return f"""
+WITH {PEAKS_SQL}
+SELECT file_id, detector, channel, row_number() OVER (PARTITION BY file_id, detector, channel ORDER BY {PLACE_SQL}) AS peak, retention_time, {"rt2 AS secondary_retention_time, " if second else ""}area
+FROM peaks WHERE rt2 IS {'NOT ' if second else ''}NULL"""
+
+
+@query(_matrix_long_sql(False))
+def order_matrix_1d_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All peaks of each stream; the wide query shows the first three."""
+    return P.order_matrix_long(P.order_matrix(A.observed(A.peaks(spark, sf_dir)), PLACE)).drop("sample_id", "retention_time_unit", "area_unit")
+
+
+@query(_matrix_long_sql(True))
+def order_matrix_2d_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matrix = P.order_matrix(A.observed(A.peaks(spark, sf_dir)), PLACE, two_dimensional=True)
+    return P.order_matrix_long(matrix).drop("sample_id", "retention_time_unit", "area_unit", "secondary_retention_time_unit")
+
+
 @query("""
 SELECT p_partkey AS ordinal, CAST(floor((p_partkey - 1) / 30) AS BIGINT) + 1 AS segment, CAST(9 + (p_partkey - 1) % 30 AS BIGINT) AS place FROM part""")
 def column_segments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import random
 
 import pytest
@@ -268,3 +269,22 @@ def test_sinks(spark, tmp_path):
     assert P.cell_audit(rows).first()["n_bad"] == 0
     files = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y")], "relative_path string, size long, sha256 string")
     assert P.file_set_digest(files).first() == P.file_set_digest(files.orderBy(F.desc("size"))).first()
+
+
+@pytest.mark.parametrize("name", ["order_matrix_1d", "order_matrix_2d"])
+def test_order_matrix_queries_return_every_peak(spark, name):
+    import __spark_entry__ as entry
+
+    duckdb = pytest.importorskip("duckdb")
+    folder = f"{entry.TESTDATA}/sf0.001"
+    con = duckdb.connect()
+    for table in ("lineitem", "part"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{folder}/{table}.parquet')")
+    got = entry.queries()[f"{name}_long"](spark, folder)
+    want = con.execute(entry.oracle_sql()[f"{name}_long"])
+    assert got.columns == [d[0] for d in want.description]
+    rows = collections.Counter(tuple(r) for r in got.collect())
+    assert rows == collections.Counter(want.fetchall())
+    assert max(r[3] for r in rows) > 3
+    wide = entry.queries()[name](spark, folder).collect()
+    assert sum(rows.values()) == sum(r["n_peaks"] for r in wide)
