@@ -1,9 +1,9 @@
 """Best-fit packing: bounded-space online best-fit over documents' token pieces.
 
-Tasks tokenise whole texts. Full pieces are sequences of their own. The rest is dealt by a hash of
-the piece into even groups, and each group is packed online: a fixed number of open bins in a bitset
-keyed by free space, the tightest bin that fits takes the piece, and when all bins are open and none
-fits, the fullest is closed.
+Tasks tokenise whole texts. Full pieces are sequences of their own. The rest is dealt by its place in
+the written table into even groups, and each group is packed online, piece by piece as they come: a
+fixed number of open bins in a bitset keyed by free space, the tightest bin that fits takes the
+piece, and when all bins are open and none fits, the fullest is closed.
 """
 
 from __future__ import annotations
@@ -79,7 +79,7 @@ def token_pieces(
         for batch in batches:
             rows: list[list] = [[] for _ in range(6)]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.array([*encode(text.as_py() or ""), END], "<u4")
+                ids = np.append(encode(text.as_py() or ""), np.array([END], "<u4"))
                 first = len(ids) % capacity or min(capacity, len(ids))
                 ends = range(first, len(ids) + 1, capacity)
                 for k, end in enumerate(ends):
@@ -96,11 +96,11 @@ def token_pieces(
 
 def pack_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, tokenizer_path: str | None = None,
-    keep_ids: bool = False, most_open: int = 16384, pieces_per_group: int = 25_000,
+    keep_ids: bool = False, most_open: int = 64, pieces_per_group: int = 25_000,
 ) -> DataFrame:
     """Each document's pieces with ``sequence_id`` and ``offset``: their place in packed sequences.
 
-    No sequence holds more than ``capacity`` tokens and its pieces follow each other without gaps
+    At most ``most_open`` sequences of a group are open at a time. No sequence holds more than ``capacity`` tokens and its pieces follow each other without gaps
     from 0. Null and empty texts are one token. Repeated rows, also of one id, are packed one by
     one; null ids stay null. An empty table gives no sequences; other columns are not read.
     """
@@ -108,7 +108,8 @@ def pack_documents(
     rest = pieces.where(F.col("length") < capacity)
     groups = -(-rest.count() // pieces_per_group) or 1
     tasks = min(groups, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    deal = F.xxhash64("doc_id", "piece", "length", "ids_crc32")
+    # A row's place in the written table: the same on every reading, and another for each copy.
+    rest = rest.withColumn("arrival", F.monotonically_increasing_id())
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first, group, bins = TaskContext.get().partitionId() << 40, None, None
@@ -119,11 +120,10 @@ def pack_documents(
                     first, group, bins = first + (bins.made if bins else 0), g, OpenBins(capacity, most_open)
                 bin_no, offset = bins.place(length)
                 places.append((first + bin_no, offset))
-            yield batch.drop(columns="group").assign(sequence_id=[s for s, _ in places], offset=[o for _, o in places])
+            yield batch.drop(columns=["group", "arrival"]).assign(sequence_id=[s for s, _ in places], offset=[o for _, o in places])
 
-    # Long pieces first: the short ones then fill what the long ones leave.
-    dealt = rest.withColumn("group", F.pmod(deal, F.lit(groups)))
-    dealt = dealt.repartition(tasks, "group").sortWithinPartitions("group", F.desc("length"), deal)
+    dealt = rest.withColumn("group", F.pmod(F.xxhash64("arrival"), F.lit(groups)))
+    dealt = dealt.repartition(tasks, "group").sortWithinPartitions("group", "arrival")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema]
     packed = dealt.mapInPandas(pack, ", ".join([*fields, "sequence_id long", "offset long"]))
     full = pieces.where(F.col("length") >= capacity)

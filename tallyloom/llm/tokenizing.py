@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from functools import lru_cache
 
-import tiktoken
+import numpy as np
 from tokenizers import Tokenizer
 
-#: Pre-tokenisation of byte-level BPE vocabularies (a fixed, published pattern).
-BYTE_LEVEL_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Characters on which both libraries' Unicode tables surely agree; other texts take the slow way.
-_PLAIN = re.compile("[\\t\\n\\r -~¡-ɏ‘-”€]*")
+#: Characters that are no white space in any version of Unicode. A byte-level BPE file always starts
+#: a new piece at a blank between two of them; the blank belongs to what follows.
+_INK = "!-~\u00a1-\u024f"
+_BREAK = re.compile(f"(?<=[{_INK}]) (?=[{_INK}])")
+_WORD = re.compile("[A-Za-z]*")
+_OTHER_BLANK = re.compile(f"[^{_INK}] | [^{_INK}]")
+#: How a byte-level vocabulary writes a blank (a fixed value).
+BLANK = "\u0120"
 
 
 def default_path() -> str:
@@ -21,47 +26,63 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _byte_of_char() -> dict[str, int]:
-    """The byte that each character of a byte-level vocabulary stands for: printable ones
-    themselves, the rest counted up from U+0100."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in shown]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-
-
-def _fast_encoding(spec: dict) -> tiktoken.Encoding | None:
-    """The same vocabulary as ranks, where the file is plain byte-level BPE; else None."""
+def _splits_at_blanks(spec: dict) -> bool:
+    """Whether the file is plain byte-level BPE, so that texts may be encoded piece by piece."""
     model, pre = spec["model"], spec.get("pre_tokenizer") or {}
-    if model.get("type") != "BPE" or spec.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
-        return None
-    special = {t["content"] for t in spec.get("added_tokens", [])}
-    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-    vocab = model["vocab"]
-    if any(vocab.get(a + b) != 256 + i for i, (a, b) in enumerate(merges)):
-        return None
-    back = _byte_of_char()
-    ranks = {bytes(back[c] for c in t): i for t, i in vocab.items() if t not in special}
-    return tiktoken.Encoding("file", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
+    if model.get("type") != "BPE" or model.get("dropout") or spec.get("normalizer") or (spec.get("truncation") or spec.get("padding")):
+        return False
+    return pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space", True) and pre.get("use_regex", True)
 
 
 class TextTokenizer:
     """Ids as the ``tokenizers`` library gives them for the file, without special tokens added.
 
-    Plain texts go through an equal but quicker encoder; texts with unusual characters or with a
-    special token's string in them go through the library itself.
+    All ids come from that library. With a plain byte-level file, texts are cut at blanks where a new
+    piece surely starts, and each different piece is encoded once: words come again and again. At
+    most ``most_pieces`` short pieces are remembered. Texts with a special token's string go to the
+    library whole, as do all texts with other kinds of files.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most_pieces: int = 500_000, longest: int = 64) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.slow = Tokenizer.from_file(path)
-        self.fast = _fast_encoding(spec)
+        self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
+        self.cuts = _splits_at_blanks(spec)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-
-    def ids(self, text: str) -> list[int]:
-        if self.fast and _PLAIN.fullmatch(text) and not any(s in text for s in self.special):
-            return self.fast.encode_ordinary(text)
-        return self.slow.encode(text, add_special_tokens=False).ids
+        self.most_pieces, self.longest = most_pieces, longest
+        self.known: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+
+    def _encode(self, text: str) -> bytes:
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _remember(self, held: dict[str, bytes], piece: str, found: bytes) -> bytes:
+        if len(piece) <= self.longest:
+            if len(held) >= self.most_pieces:
+                held.clear()
+            held[piece] = found
+        return found
+
+    def _after_blank(self, piece: str) -> bytes:
+        """The ids of a blank and the piece."""
+        end = _WORD.match(piece).end()
+        if end == 0 or not piece[end : end + 1].isascii():
+            return self._remember(self.known, piece, self._encode(f" {piece}"))
+        if end < len(piece):  # a word ends before any other ASCII character
+            word, tail = piece[:end], piece[end:]
+            found = (self.known.get(word) or self._after_blank(word)) + (self.tails.get(tail) or self._remember(self.tails, tail, self._encode(tail)))
+            return self._remember(self.known, piece, found)
+        # One word: straight to the vocabulary's merges.
+        return self._remember(self.known, piece, array("I", [t.id for t in self.model.tokenize(f"{BLANK}{piece}")]).tobytes())
+
+    def ids(self, text: str) -> np.ndarray:
+        """The ids of a text, as unsigned 32-bit little-endian numbers."""
+        if not self.cuts or any(s in text for s in self.special):
+            return np.frombuffer(self._encode(text), "<u4")
+        first, *rest = _BREAK.split(text) if _OTHER_BLANK.search(text) or text[:1] == " " or text[-1:] == " " else text.split(" ")
+        known = self.known.get
+        return np.frombuffer(b"".join([self._encode(first), *[known(p) or self._after_blank(p) for p in rest]]), "<u4")
 
 
 @lru_cache(maxsize=4)

@@ -286,6 +286,35 @@ def test_packing_round_trip(spark):
     assert packing.pack_documents(empty(spark)).count() == 0
 
 
+def test_ids_are_the_librarys():
+    tokens = packing.tokenizer(packing.default_path())
+    encode = tokens.library.encode
+    rng = random.Random(3)
+    parts = ["a", "B", " ", "  ", "é", "中", "\u0085", "\u3000", "'s", "'", "1", "!", "\n", "\t", " x", " Zé", "ſ", " 's", " '", "ab cd", "🙂", "  b", "<|endoftext|>", ".\n\nZ", " ab.c"]
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        assert tokens.ids(text).tolist() == encode(text, add_special_tokens=False).ids, repr(text)
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "a" * 300_000, "\n" * 1_000_000, f"a{' ' * 1_000_000}b", "ab " * 400_000, "é" * 300_000])
+def test_very_long_texts_are_encoded_whole(text):
+    tokens = packing.tokenizer(packing.default_path())
+    assert tokens.ids(text).tolist() == tokens.library.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_is_online_and_splits_copies(spark):
+    """Copies of a row are dealt over the groups, and the open bins waste little."""
+    rng = random.Random(14)
+    rows = [(i, prose(rng, rng.randint(1, 60))) for i in range(80)] + [(5, "one and the same")] * 400
+    out = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), capacity=128, most_open=4, pieces_per_group=150).collect()
+    used = collections.Counter()
+    for r in out:
+        used[r["sequence_id"] >> 40] += 1
+    assert len(out) == 480 and max(used.values()) < 480
+    total = sum(r["length"] for r in out)
+    assert -(-total // 128) <= len({r["sequence_id"] for r in out}) <= 1.15 * total / 128 + 4 * len(used)
+
+
 def test_open_bins_close_the_fullest():
     bins = packing.OpenBins(10, 2)
     assert [bins.place(n) for n in (6, 9, 4, 8, 1)] == [(0, 0), (1, 0), (0, 6), (2, 0), (1, 9)]
