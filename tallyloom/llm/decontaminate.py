@@ -1,8 +1,9 @@
 """Benchmark decontamination: training token windows against a broadcast set of test n-grams.
 
 DataFrame functions only. Each document's windows are hashed in place and looked up in a broadcast
-table of the benchmark's windows; a hit is verified word by word. A window set above the stated
-bound is looked up in several passes, each with a part below the bound, so any benchmark size works.
+table of the benchmark's windows; a hit is verified word by word. A window carries its own words
+only, so the work grows with the text's length. A window set above the stated bounds isn't
+broadcast: it is joined by a shuffle on the windows' hashes instead, with the texts still read once.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, merge_spans, row_key
+from .common import ascii_lower, cut, merge_spans, row_key
 
 #: Runs of digits, lower-case letters and non-ASCII characters.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -29,11 +30,12 @@ def normal_words(text: Column) -> Column:
 
 
 def _windows(words: Column, size: int) -> Column:
-    """``(pos, h)`` of each run of ``size`` words; none if there are fewer."""
+    """``(pos, h, gram)`` of each run of ``size`` words; none if there are fewer."""
     def at(i: Column) -> Column:
-        return F.struct(i.alias("pos"), F.xxhash64(F.slice(words, i + 1, size)).alias("h"))
+        gram = F.slice(words, i + 1, size)
+        return F.struct(i.alias("pos"), F.xxhash64(gram).alias("h"), gram.alias("gram"))
 
-    none = F.expr("cast(array() as array<struct<pos:int,h:bigint>>)")
+    none = F.expr(f"cast(array() as array<struct<pos:int,h:bigint,gram:{WINDOW_TYPE}>>)")
     return F.when(F.size(words) >= size, F.transform(F.sequence(F.lit(0), F.size(words) - size), at)).otherwise(none)
 
 
@@ -49,55 +51,58 @@ def benchmark_windows(benchmark: DataFrame, id_col: str, text_col: str, window:
 
 def contamination(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    item_id_col: str = "item_id", item_text_col: str = "text", window: int = 10, max_broadcast_windows: int = 500_000,
+    item_id_col: str = "item_id", item_text_col: str = "text", window: int = 10, max_broadcast_windows: int = 500_000, max_broadcast_bytes: int = 128_000_000,
 ) -> DataFrame:
     """``doc_id, digest, n_words, n_hit, n_items, items, spans`` for each document.
 
     A window is ``window`` consecutive words of an item, or all of a shorter one. ``n_hit`` counts
     the document's words inside any occurrence of a window, ``spans`` has the hit stretches as
     ``(start, end)`` in words, ``items`` the ids (text, sorted) of the items hit. At most
-    ``max_broadcast_windows`` windows are broadcast at a time. Null and empty texts have no words
-    and no hits; wordless items match nothing; items with a null id hit, but aren't listed.
-    Repeated rows each get a row. Without items nothing is hit. Other columns are not read.
+    ``max_broadcast_windows`` windows of ``max_broadcast_bytes`` together are broadcast; more are
+    joined by a shuffle. Null and empty texts have no words and no hits; wordless items match
+    nothing; items with a null id hit, but aren't listed. Repeated rows each get a row. Without
+    items nothing is hit. Other columns are not read.
     """
-    grams = benchmark_windows(benchmark, item_id_col, item_text_col, window)
-    known = grams.agg(F.count("*").alias("n"), F.collect_set("size").alias("sizes")).first()
-    passes = -(-known["n"] // max_broadcast_windows) or 1
-    grams = grams.withColumn("h", F.xxhash64("gram"))
+    grams = cut(benchmark_windows(benchmark, item_id_col, item_text_col, window).withColumn("h", F.xxhash64("gram")))
+    size_of = lambda c: F.octet_length(F.array_join(c, " "))
+    known = grams.agg(F.count("*").alias("n"), F.sum(size_of("gram") + size_of("items")).alias("bytes"), F.collect_set("size").alias("sizes")).first()
+    small = known["n"] <= max_broadcast_windows and (known["bytes"] or 0) <= max_broadcast_bytes
 
     key = row_key(F.col(id_col), F.col(text_col))
     words = docs.select(key.alias("key"), normal_words(F.col(text_col)).alias("words"))
     # Each document also has one window of no words, which always hits and carries its length.
-    end = F.array(F.struct(F.size("words").alias("pos"), F.xxhash64(F.array().cast(WINDOW_TYPE)).alias("h")))
-    nothing = docs.sparkSession.range(1).select(
-        F.array().cast(WINDOW_TYPE).alias("gram"), F.lit(0).alias("size"), F.array().cast("array<string>").alias("items"), F.xxhash64(F.array().cast(WINDOW_TYPE)).alias("h")
-    )
-    found = []
-    for k in range(passes):
-        probes = reduce(F.concat, [_windows(F.col("words"), m) for m in sorted(known["sizes"])], end)
-        part = grams.where(F.pmod("h", F.lit(passes)) == k) if passes > 1 else grams
-        looked = F.broadcast(part.select("gram", "size", "items", "h").unionByName(nothing))
-        # The outer form keeps the optimizer from computing the windows twice, to drop empty arrays.
-        probed = words.select("key", "words", F.explode_outer(probes).alias("probe"))
-        same = (F.col("probe.h") == F.col("h")) & (F.slice("words", F.col("probe.pos") + 1, F.col("size")) == F.col("gram"))
-        found.append(probed.join(looked, same).select("key", F.col("probe.pos").alias("pos"), "size", "items"))
+    blank = F.array().cast(WINDOW_TYPE)
+    end = F.array(F.struct(F.size("words").alias("pos"), F.xxhash64(blank).alias("h"), blank.alias("gram")))
+    windows = [_windows(F.col("words"), m) for m in sorted(known["sizes"])]
+    nothing = docs.sparkSession.range(1).select(blank.alias("gram"), F.lit(0).alias("size"), F.array().cast("array<string>").alias("items"), F.xxhash64(blank).alias("h"))
+    looked = grams.select(F.col("gram").alias("known_gram"), "size", "items", "h")
+    looked = F.broadcast(looked.unionByName(nothing.withColumnRenamed("gram", "known_gram"))) if small else looked.hint("merge")
+    probes = reduce(F.concat, windows, end) if small else reduce(F.concat, windows)
+    # The outer form keeps the optimizer from computing the windows twice, to drop empty arrays.
+    probed = words.select("key", F.explode_outer(probes).alias("probe"))
+    same = (F.col("probe.h") == F.col("h")) & (F.col("probe.gram") == F.col("known_gram"))
+    found = probed.join(looked, same).select("key", F.col("probe.pos").alias("pos"), "size", "items")
+    if not small:
+        found = found.unionByName(words.select("key", F.size("words").alias("pos"), F.lit(0).alias("size"), F.array().cast("array<string>").alias("items")))
     hit = F.col("size") > 0
-    per_row = reduce(DataFrame.unionByName, found).groupBy("key").agg(
+    per_row = found.groupBy("key").agg(
         F.max(F.when(~hit, F.col("pos"))).cast("long").alias("n_words"),
         F.count(F.when(~hit, 1)).alias("copies"),
-        F.collect_set(F.when(hit, F.struct("pos", "size"))).alias("hits"),
+        F.collect_set(F.when(hit, F.struct(F.col("pos").alias("start"), (F.col("pos") + F.col("size")).alias("end")))).alias("hits"),
         F.collect_set(F.when(hit, F.col("items"))).alias("lists"),
     )
-    ranges = F.transform("hits", lambda x: F.struct(x["pos"].alias("start"), (x["pos"] + x["size"]).alias("end")))
+
+    def covered(seen: Column, x: Column) -> Column:
+        more = F.greatest(x["end"] - F.greatest(seen["end"], x["start"]), F.lit(0))
+        return F.struct(F.greatest(seen["end"], x["end"]).alias("end"), (seen["n"] + more).alias("n"))
+
+    nil = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
     out = per_row.select(
-        "key", "n_words", F.sequence(F.lit(1).cast("long"), (F.col("copies") / passes).cast("long")).alias("copies"), merge_spans(ranges).alias("spans"), F.array_sort(F.array_distinct(F.flatten("lists"))).alias("items")
+        "key", "n_words", F.sequence(F.lit(1).cast("long"), "copies").alias("copies"),
+        F.aggregate(F.sort_array("hits"), nil, covered)["n"].alias("n_hit"), merge_spans(F.col("hits")).alias("spans"), F.array_sort(F.array_distinct(F.flatten("lists"))).alias("items"),
     )
     out = out.select("*", F.explode("copies"))
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]))
-    return out.select(
-        F.col("key.id").alias("doc_id"), F.col("key.digest").alias("digest"), "n_words", n_hit.alias("n_hit"),
-        F.size("items").cast("long").alias("n_items"), "items", "spans",
-    )
+    return out.select(F.col("key.id").alias("doc_id"), F.col("key.digest").alias("digest"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "spans")
 
 
 def contamination_digest(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
