@@ -1,7 +1,10 @@
 """Host-level quality rules: rule failures by domain, rates shrunk with an empirical beta prior.
 
 DataFrame functions only. Features come from one pass over whole texts; only their figures are
-written and aggregated by host, so a host with a third of all rows costs no more than others.
+written and aggregated by host, so a host with a third of all rows costs no more than others. Each
+rule has its own prior, fitted to the hosts' counts with the noise of small hosts taken out. A host
+whose documents mostly fail goes as a whole; a host that fails a rule more than the prior has it
+loses those documents that fail it, where other hosts keep theirs.
 """
 
 from __future__ import annotations
@@ -9,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, let, words_column
+from .common import SPACE, cut, let, spread, words_column
 
 SYMBOLS = "#*$%&|<>"
 
@@ -63,50 +66,80 @@ def rule_failures() -> dict[str, Column]:
     }
 
 
-def host_verdicts(flagged: DataFrame, max_rate: float = 0.5, strength: tuple[float, float] = (2.0, 1000.0)) -> DataFrame:
-    """``host, n_docs, n_failed, rate, host_kept`` from rows with ``host`` and ``any_failed``.
+def beta_prior(hosts: DataFrame, failed: list[str], strength: tuple[float, float] = (2.0, 1000.0)) -> dict[str, tuple[float, float]]:
+    """``(mean, strength)`` of a beta prior for each column of failure counts in ``hosts``.
 
-    A beta prior is fitted to the hosts' rates by moments: its mean is their mean, its strength
-    follows from their variance (held within ``strength``). Each host's rate is the posterior mean,
-    so a host with few documents stays near the prior. Null is a host of its own.
+    By moments of the beta-binomial: the hosts' rates vary by the prior's spread and by the noise of
+    their own numbers, which is taken off; what is left gives the strength, held within bounds. The
+    mean is that of all documents.
     """
-    rules = [c for c in flagged.columns if c.startswith("failed_")]
-    hosts = cut(
-        flagged.groupBy("host").agg(
-            F.count("*").alias("n_docs"), F.sum(F.col("any_failed").cast("long")).alias("n_failed"),
-            *[F.sum(F.col(c).cast("long")).alias(c) for c in rules],
-        )
-    )
-    rate = F.col("n_failed") / F.col("n_docs")
-    prior = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v")).first()
-    m, v = prior["m"] or 0.0, prior["v"] or 0.0
-    s = min(max(m * (1 - m) / v - 1, strength[0]), strength[1]) if v > 0 else strength[1]
-    shrunk = (F.col("n_failed") + F.lit(m * s)) / (F.col("n_docs") + F.lit(s))
-    return hosts.withColumn("rate", shrunk).withColumn("host_kept", F.col("rate") <= max_rate)
+    n = F.col("n_docs")
+    sums = hosts.agg(
+        F.count("*").alias("k"), F.sum(n).alias("n"), F.sum((n * n).cast("double")).alias("nn"),
+        *[F.sum(c).alias(f"x_{c}") for c in failed], *[F.sum(F.col(c).cast("double") * F.col(c) / n).alias(f"xx_{c}") for c in failed],
+    ).first()
+    out = {}
+    for c in failed:
+        m = (sums[f"x_{c}"] or 0) / sums["n"] if sums["n"] else 0.0
+        noise, spread = m * (1 - m), 0.0
+        free = sums["n"] - sums["nn"] / sums["n"] - (sums["k"] - 1) if sums["n"] else 0
+        if noise > 0 and free > 0:
+            spread = round(((sums[f"xx_{c}"] - m * m * sums["n"]) / noise - (sums["k"] - 1)) / free, 6)
+        out[c] = (m, min(max(1 / spread - 1, strength[0]), strength[1]) if spread > 0 else strength[1])
+    return out
+
+
+def host_verdicts(flagged: DataFrame, max_rate: float = 0.5, margin: float = 0.25) -> DataFrame:
+    """``host_key, n_docs, rate, host_kept, strict_<rule>...`` from rows with ``host_key`` and flags.
+
+    A host's rates are posterior means, so a host with few documents stays near the prior. It is
+    kept as a whole while at most ``max_rate`` of its documents fail any rule, and strict in a rule
+    where its rate is over the prior's mean by more than ``margin`` of the prior's standard
+    deviation, which takes both a higher rate and enough documents.
+    """
+    failed = [c for c in flagged.columns if c.startswith("failed_")]
+    hosts = cut(flagged.groupBy("host_key").agg(F.count("*").alias("n_docs"), *[F.sum(F.col(c).cast("long")).alias(c) for c in failed]))
+    prior = beta_prior(hosts, failed)
+
+    def rate(c: str) -> Column:
+        m, s = prior[c]
+        return (F.col(c) + F.lit(m * s)) / (F.col("n_docs") + F.lit(s))
+
+    def bound(c: str) -> float:
+        m, s = prior[c]
+        return m + margin * (m * (1 - m) / (s + 1)) ** 0.5
+
+    strict = [(rate(c) > bound(c)).alias(c.replace("failed_", "strict_", 1)) for c in failed if c != "failed_any"]
+    return hosts.select("host_key", "n_docs", rate("failed_any").alias("rate"), (rate("failed_any") <= max_rate).alias("host_kept"), *strict)
 
 
 def quality_verdicts(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = 0.5
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = 0.5, margin: float = 0.25, max_broadcast_bytes: int = 64_000_000
 ) -> DataFrame:
     """Features, ``base_failed``, the host's shrunk failure rate and ``kept`` for each document.
 
     A document is kept unless it fails the base rules (under 50 words, or over half of its words in
-    repeated 3-word windows) or its host's shrunk failure rate is over ``max_rate``. Null and empty
-    texts have no words and fail. A null host is a host of its own. Repeated rows each get a row.
-    An empty table gives an empty result; other columns are not read.
+    repeated 3-word windows), its host goes as a whole, or it fails a rule in which its host is
+    strict (see ``host_verdicts``). Null and empty texts have no words and fail. A null host is a
+    host of its own. Repeated rows each get a row. An empty table gives an empty result; other
+    columns are not read. The verdicts are broadcast where they are within ``max_broadcast_bytes``;
+    otherwise they are joined by a shuffle in which hot hosts are salted.
     """
     rules = rule_failures()
     flagged = text_features(docs, id_col, text_col, host_col)
+    flagged = flagged.withColumn("host_key", F.coalesce(F.concat(F.lit("h"), F.col("host").cast("string")), F.lit("null")))
     flagged = flagged.select("*", *[c.alias(f"failed_{k}") for k, c in rules.items()])
-    flagged = cut(flagged.withColumn("any_failed", F.expr(" or ".join(f"failed_{k}" for k in rules))))
-    verdicts = host_verdicts(flagged, max_rate).select(F.col("host").alias("v_host"), "rate", "host_kept")
+    flagged = cut(flagged.withColumn("failed_any", F.expr(" or ".join(f"failed_{k}" for k in rules))))
+    verdicts = host_verdicts(flagged, max_rate, margin)
+    size = verdicts.agg(F.sum(F.octet_length("host_key") + 64)).first()[0] or 0
+    if size <= max_broadcast_bytes:
+        joined = flagged.join(F.broadcast(verdicts), "host_key")
+    else:
+        left, right = spread(flagged, verdicts, "host_key", "n_docs", flagged.count(), ["doc_id", "n_words", "word_chars"])
+        joined = left.join(right, ["host_key", "salt"]).drop("salt")
     base_failed = F.col("failed_short") | F.col("failed_repetitive")
-    return (
-        flagged.join(verdicts, F.col("host").eqNullSafe(F.col("v_host")))
-        .withColumn("base_failed", base_failed)
-        .withColumn("kept", ~base_failed & F.col("host_kept"))
-        .drop("v_host")
-    )
+    condemned = F.expr(" or ".join(f"failed_{k} and strict_{k}" for k in rules))
+    return joined.withColumn("base_failed", base_failed).withColumn("kept", ~base_failed & F.col("host_kept") & ~condemned).drop("host_key", "n_docs")
 
 
 ORACLE_SQL = r"""
@@ -123,12 +156,20 @@ f AS (
     CAST(coalesce(l.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
   FROM d LEFT JOIN c ON d.r = c.r LEFT JOIN l ON d.r = l.r),
 g AS (
-  SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-    (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 12 * n_words) AS any_failed FROM f),
-h AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE any_failed) AS bad FROM g GROUP BY source),
-p AS (SELECT avg(bad / n) AS m, var_pop(bad / n) AS v FROM h),
-s AS (SELECT m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 2.0), 1000.0) ELSE 1000.0 END AS s FROM p)
-SELECT g.doc_id, g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words, g.base_failed,
-  (NOT g.base_failed AND (h.bad + s.m * s.s) / (h.n + s.s) <= 0.5) AS kept
-FROM g JOIN h ON g.source IS NOT DISTINCT FROM h.source, s
+  SELECT *, n_words < 50 AS f1, 100 * n_repeat_words > 50 * n_words AS f2, 10 * n_symbols > n_words AS f3,
+    word_chars < 2 * n_words OR word_chars > 12 * n_words AS f4 FROM f),
+r AS (SELECT *, unnest([1, 2, 3, 4, 0]) AS rule, unnest([f1, f2, f3, f4, f1 OR f2 OR f3 OR f4]) AS bad FROM g),
+h AS (SELECT rule, source, count(*) AS n, count(*) FILTER (WHERE bad) AS x FROM r GROUP BY rule, source),
+m AS (SELECT rule, count(*) AS k, sum(n) AS n, sum(CAST(n AS DOUBLE) * n) AS nn, sum(x) / sum(n) AS m, sum(CAST(x AS DOUBLE) * x / n) AS xx FROM h GROUP BY rule),
+v AS (
+  SELECT rule, m, CASE WHEN m * (1 - m) > 0 AND n - nn / n - (k - 1) > 0 THEN round(((xx - m * m * n) / (m * (1 - m)) - (k - 1)) / (n - nn / n - (k - 1)), 6) ELSE 0 END AS rho FROM m),
+p AS (SELECT rule, m, CASE WHEN rho > 0 THEN least(greatest(1 / rho - 1, 2.0), 1000.0) ELSE 1000.0 END AS s FROM v),
+w AS (
+  SELECT h.source, h.rule, (h.x + p.m * p.s) / (h.n + p.s) AS rate, p.m + 0.25 * sqrt(p.m * (1 - p.m) / (p.s + 1)) AS bound FROM h JOIN p ON h.rule = p.rule),
+z AS (
+  SELECT source, bool_or(rule = 0 AND rate > 0.5) AS gone, bool_or(rule = 1 AND rate > bound) AS s1, bool_or(rule = 2 AND rate > bound) AS s2,
+    bool_or(rule = 3 AND rate > bound) AS s3, bool_or(rule = 4 AND rate > bound) AS s4 FROM w GROUP BY source)
+SELECT g.doc_id, g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words, (f1 OR f2) AS base_failed,
+  NOT (f1 OR f2 OR z.gone OR (f3 AND z.s3) OR (f4 AND z.s4)) AS kept
+FROM g JOIN z ON g.source IS NOT DISTINCT FROM z.source
 """

@@ -6,6 +6,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -347,6 +348,29 @@ def test_quality_verdicts(spark):
     assert quality.quality_verdicts(empty(spark)).count() == 0
 
 
+def test_quality_prior_takes_the_noise_off(spark):
+    rng = np.random.default_rng(5)
+    counts = lambda p, n: [(f"h{i}", n, int(rng.binomial(n, x))) for i, x in enumerate(p)]
+    fit = lambda rows: quality.beta_prior(spark.createDataFrame(rows, "host_key string, n_docs long, failed_x long"), ["failed_x"])["failed_x"]
+    mean, strength = fit(counts(rng.beta(2, 8, 3000), 4))
+    assert abs(mean - 0.2) < 0.02 and 7 < strength < 14
+    assert fit(counts([0.2] * 3000, 4))[1] > 40
+    assert fit([]) == (0.0, 1000.0)
+
+
+@pytest.mark.parametrize("max_broadcast_bytes", [64_000_000, 0])
+def test_quality_host_verdicts_move_documents(spark, max_broadcast_bytes):
+    plain, symbols = " ".join(f"word{i}" for i in range(60)), "$$$$$$$$ " + " ".join(f"word{i}" for i in range(60))
+    rows = [(k * 1000 + i, symbols if i < bad else plain, "x", f"h{k}") for k, bad in enumerate([30, 30, 2, 2, 2, 2]) for i in range(100)]
+    rows += [(9000, symbols, "x", "single"), (9001, plain, "x", None)]
+    out = quality.quality_verdicts(spark.createDataFrame(rows, SCHEMA), max_broadcast_bytes=max_broadcast_bytes).collect()
+    dropped = {r["doc_id"] for r in out if not r["kept"]}
+    assert len(out) == len(rows) and not any(r["base_failed"] for r in out)
+    # Two hosts are strict; a host with one document is judged as it would be on the prior alone.
+    assert dropped == {k * 1000 + i for k in (0, 1) for i in range(30)} | ({9000} & dropped)
+    assert {1, 2000, 9001} - dropped == {2000, 9001} | ({1} - dropped)
+
+
 # -- op5 ----------------------------------------------------------------------------------------
 
 
@@ -448,6 +472,21 @@ def test_decontamination_matches_brute_force(spark, docs):
     assert decontaminate.contamination_digest(empty(spark), bench).count() == 0
 
 
+def test_decontamination_time_grows_with_a_texts_length(spark):
+    rng = random.Random(20)
+    item = spark.createDataFrame([(1, prose(rng, 40))], "item_id long, text string")
+
+    def seconds(n: int) -> float:
+        frame = spark.createDataFrame([(1, prose(rng, n))], "doc_id long, text string").cache()
+        frame.count()
+        began = time.perf_counter()
+        assert [r["n_words"] for r in decontaminate.contamination_digest(frame, item).collect()] == [n]
+        return time.perf_counter() - began
+
+    seconds(2_000)
+    assert seconds(320_000) < 4 * max(seconds(80_000), 1.0)
+
+
 # -- op7 ----------------------------------------------------------------------------------------
 
 
