@@ -1,9 +1,10 @@
 """Benchmark decontamination: training token windows against a broadcast set of test n-grams.
 
-DataFrame functions only. Each document's windows are hashed in place and looked up in a broadcast
-table of the benchmark's windows; a hit is verified word by word. A window carries its own words
-only, so the work grows with the text's length. A window set above the stated bounds isn't
-broadcast: it is joined by a shuffle on the windows' hashes instead, with the texts still read once.
+DataFrame functions only. The hashes of a document's windows are first tested in place against a
+bitmap of the benchmark's hashes, so only likely hits become rows. Those are looked up in a broadcast
+table of the benchmark's windows and verified word by word. A window carries its own words only, so
+the work grows with the text's length. A window set above the stated bounds isn't broadcast: all
+windows are joined by a shuffle on their hashes instead, with the texts still read once.
 """
 
 from __future__ import annotations
@@ -29,24 +30,61 @@ def normal_words(text: Column) -> Column:
     return F.filter(F.split(lowered, BETWEEN), lambda w: w != "")
 
 
-def _windows(words: Column, size: int) -> Column:
-    """``(pos, h, gram)`` of each run of ``size`` words; none if there are fewer."""
-    def at(i: Column) -> Column:
-        gram = F.slice(words, i + 1, size)
-        return F.struct(i.alias("pos"), F.xxhash64(gram).alias("h"), gram.alias("gram"))
+def with_window_hashes(frame: DataFrame, sizes: list[int]) -> DataFrame:
+    """``frame`` with ``w<m>`` for each size: the 64-bit hashes of all runs of m of its ``words``.
 
-    none = F.expr(f"cast(array() as array<struct<pos:int,h:bigint,gram:{WINDOW_TYPE}>>)")
-    return F.when(F.size(words) >= size, F.transform(F.sequence(F.lit(0), F.size(words) - size), at)).otherwise(none)
+    Hashes of 2, 4, 8... words are combined from those of half as many, and a run's from the powers
+    of two that make it up: a few passes over each text, whatever the size.
+    """
+    def joined(a: str, b: str, ahead: int) -> Column:
+        rest = F.slice(b, ahead + 1, F.greatest(F.size(b) - ahead, F.lit(0)))
+        return F.slice(F.zip_with(a, rest, lambda x, y: F.xxhash64(x, y)), 1, F.greatest(F.size(b) - ahead, F.lit(0)))
+
+    frame = frame.withColumn("p1", F.transform("words", lambda w: F.xxhash64(w)))
+    power = 1
+    while sizes and 2 * power <= max(sizes):
+        frame = frame.withColumn(f"p{2 * power}", joined(f"p{power}", f"p{power}", power))
+        power *= 2
+    for m in sizes:
+        parts = [1 << i for i in reversed(range(m.bit_length())) if m >> i & 1]
+        name, done = f"p{parts[0]}", parts[0]
+        for n in parts[1:]:
+            frame = frame.withColumn(f"w{m}_{n}", joined(name, f"p{n}", done))
+            name, done = f"w{m}_{n}", done + n
+        frame = frame.withColumn(f"w{m}", F.col(name))
+    return frame
+
+
+def _windows(size: int, bitmap: Column | None = None, bits: int = 0) -> Column:
+    """``(pos, h, gram)`` of each run of ``size`` words, of those in ``bitmap`` if one is given."""
+    def at(h: Column, i: Column) -> Column:
+        window = F.struct(i.alias("pos"), h.alias("h"), F.array(*[F.get("words", i + k) for k in range(size)]).alias("gram"))
+        if bitmap is None:
+            return window
+        place = h.bitwiseAND(F.lit(bits - 1).cast("long"))
+        return F.when(F.getbit(F.get(bitmap, F.shiftrightunsigned(place, 6).cast("int")), place.bitwiseAND(F.lit(63)).cast("int")) == 1, window)
+
+    return F.filter(F.transform(f"w{size}", at), lambda x: x.isNotNull())
+
+
+def hash_bitmap(grams: DataFrame, bits: int) -> Column:
+    """An array of 64-bit words with the low bits of each ``h`` set, ``bits`` (a power of two, at least
+    64) in all, as one constant of the plan. Its size follows from the bound on broadcast windows."""
+    place = F.col("h").bitwiseAND(F.lit(bits - 1).cast("long"))
+    held = grams.groupBy(F.shiftrightunsigned(place, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("v"))
+    words = dict.fromkeys(range(bits // 64), 0) | {r["w"]: r["v"] for r in held.collect()}
+    return F.split(F.lit(",".join(str(v) for v in words.values())), ",").cast("array<long>")
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """``gram, size, items``: each distinct window with the ids (as text) of the items that hold it."""
+    """``gram, size, h, items``: each distinct window with the ids (as text) of the items that hold it."""
     items = benchmark.select(F.col(id_col).cast("string").alias("item"), normal_words(F.col(text_col)).alias("words"))
+    items = with_window_hashes(items.where(F.size("words") > 0), list(range(1, window + 1)))
     size = F.least(F.lit(window), F.size("words"))
-    grams = items.where(F.size("words") > 0).select(
-        "item", size.alias("size"), F.explode(F.transform(F.sequence(F.lit(1), F.size("words") - size + 1), lambda i: F.slice("words", i, size))).alias("gram")
-    )
-    return grams.groupBy("gram", "size").agg(F.collect_set("item").alias("items"))
+    hashes = F.coalesce(*[F.when(size == m, F.col(f"w{m}")) for m in range(1, window + 1)])
+    grams = items.select("item", "words", size.alias("size"), F.posexplode(hashes).alias("pos", "h"))
+    gram = F.slice("words", F.col("pos") + 1, F.col("size")).alias("gram")
+    return grams.select("item", gram, "size", "h").groupBy("gram", "size", "h").agg(F.collect_set("item").alias("items"))
 
 
 def contamination(
@@ -63,17 +101,20 @@ def contamination(
     nothing; items with a null id hit, but aren't listed. Repeated rows each get a row. Without
     items nothing is hit. Other columns are not read.
     """
-    grams = cut(benchmark_windows(benchmark, item_id_col, item_text_col, window).withColumn("h", F.xxhash64("gram")))
+    grams = cut(benchmark_windows(benchmark, item_id_col, item_text_col, window))
     size_of = lambda c: F.octet_length(F.array_join(c, " "))
     known = grams.agg(F.count("*").alias("n"), F.sum(size_of("gram") + size_of("items")).alias("bytes"), F.collect_set("size").alias("sizes")).first()
     small = known["n"] <= max_broadcast_windows and (known["bytes"] or 0) <= max_broadcast_bytes
 
     key = row_key(F.col(id_col), F.col(text_col))
     words = docs.select(key.alias("key"), normal_words(F.col(text_col)).alias("words"))
+    words = with_window_hashes(words, sorted(known["sizes"]))
     # Each document also has one window of no words, which always hits and carries its length.
     blank = F.array().cast(WINDOW_TYPE)
     end = F.array(F.struct(F.size("words").alias("pos"), F.xxhash64(blank).alias("h"), blank.alias("gram")))
-    windows = [_windows(F.col("words"), m) for m in sorted(known["sizes"])]
+    bits = max(64, 1 << (8 * known["n"]).bit_length())
+    bitmap = hash_bitmap(grams, bits) if small and known["n"] else None
+    windows = [_windows(m, bitmap, bits) for m in sorted(known["sizes"])]
     nothing = docs.sparkSession.range(1).select(blank.alias("gram"), F.lit(0).alias("size"), F.array().cast("array<string>").alias("items"), F.xxhash64(blank).alias("h"))
     looked = grams.select(F.col("gram").alias("known_gram"), "size", "items", "h")
     looked = F.broadcast(looked.unionByName(nothing.withColumnRenamed("gram", "known_gram"))) if small else looked.hint("merge")
