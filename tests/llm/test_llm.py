@@ -194,38 +194,78 @@ def test_chains_find_fuzzy_passages(spark):
     assert chains.fuzzy_passages(empty(spark)).count() == 0
 
 
-def test_best_chain_matches_a_quadratic_search():
+@pytest.mark.parametrize("max_gap", [9, 1000])
+def test_best_chain_matches_a_quadratic_search(max_gap):
     rng = random.Random(2)
-    for _ in range(30):
-        seeds = sorted({(rng.randrange(60), rng.randrange(60)) for _ in range(25)})
+    for _ in range(40):
+        runs = sorted({(rng.randrange(60), rng.randrange(60), rng.randrange(1, 5)) for _ in range(25)})
         score = {}
-        for s in seeds:
-            score[s] = 1 + max([0.0, *(score[t] - 0.05 * (s[0] + s[1] - t[0] - t[1]) for t in seeds if t[0] < s[0] and t[1] < s[1])])
-        chain = chains.best_chains(seeds, gap_cost=0.05, max_gap=1000)[0]
-        cost = sum(0.05 * (b[0] - a[0] + b[1] - a[1]) for a, b in zip(chain, chain[1:]))
-        assert abs(len(chain) - cost - max(score.values())) < 1e-9
-
-
-def test_chains_respect_the_gap_as_a_quadratic_search_does():
-    rng = random.Random(12)
-    for _ in range(60):
-        seeds = sorted({(rng.randrange(80), rng.randrange(80)) for _ in range(60)})
-        score = {}
-        for s in seeds:
-            near = [t for t in score if t[0] < s[0] and t[1] < s[1] and s[0] - t[0] <= 9 and s[1] - t[1] <= 9]
-            score[s] = 1 + max([0.0, *(score[t] - 0.05 * (s[0] + s[1] - t[0] - t[1]) for t in near)])
-        found = chains.best_chains(seeds, gap_cost=0.05, max_gap=9)
-        assert sorted(s for c in found for s in c) == seeds
-        assert all(0 < b[0] - a[0] <= 9 and 0 < b[1] - a[1] <= 9 for c in found for a, b in zip(c, c[1:]))
-        cost = sum(0.05 * (b[0] - a[0] + b[1] - a[1]) for a, b in zip(found[0], found[0][1:]))
-        assert abs(len(found[0]) - cost - max(score.values())) < 1e-9
+        for x, y, n in runs:
+            before = [score[t] - 0.1 * (x + y - t[0] - t[1] - 2 * t[2]) for t in score if t[0] + t[2] <= x and t[1] + t[2] <= y]
+            score[x, y, n] = n + max([0.0, *before])
+        found = chains.best_chains(runs, gap_cost=0.1, max_gap=max_gap)
+        assert sorted(r for c in found for r in c) == runs
+        for a, b in ((a, b) for c in found for a, b in zip(c, c[1:])):
+            assert a[0] + a[2] <= b[0] and a[1] + a[2] <= b[1] and max(b[0] - a[0], b[1] - a[1]) - a[2] <= max_gap
+        if max_gap == 1000:
+            cost = sum(0.1 * (b[0] + b[1] - a[0] - a[1] - 2 * a[2]) for a, b in zip(found[0], found[0][1:]))
+            assert abs(sum(n for _, _, n in found[0]) - cost - max(score.values())) < 1e-9
 
 
 @pytest.mark.parametrize("apart", [30, 70, 200, 500, 800, 1500])
 def test_a_long_passage_hides_no_later_one(apart):
-    seeds = [(x, x) for x in range(0, 100, 5)] + [(100 + apart + x, 100 + apart + x) for x in range(0, 100, 5)]
-    found = chains.best_chains(seeds)
-    assert [len(c) for c in found] == ([40] if apart <= 50 else [20, 20])
+    runs = [(x, x, 4) for x in range(0, 100, 5)] + [(100 + apart + x, 100 + apart + x, 4) for x in range(0, 100, 5)]
+    assert [len(c) for c in chains.best_chains(runs)] == ([40] if apart <= 59 else [20, 20])
+
+
+def words_of(rng: random.Random, n: int) -> np.ndarray:
+    return np.array([rng.getrandbits(40) for _ in range(n)], np.uint64)
+
+
+@pytest.mark.parametrize("identity", [0.8, 0.85, 0.9, 0.95])
+@pytest.mark.parametrize("edit", ["substitute", "insert or delete"])
+def test_pairs_that_meet_tell_planted_passages(identity, edit):
+    rng = random.Random(int(identity * 100))
+    told = 0
+    for _ in range(40):
+        passage, other = words_of(rng, 60), []
+        wrong = set(rng.sample(range(60), round(60 * (1 - identity))))
+        for i, w in enumerate(passage):
+            if i not in wrong:
+                other.append(w)
+            elif edit == "substitute":
+                other.append(rng.getrandbits(40))
+            elif rng.random() < 0.5:
+                other += [w, rng.getrandbits(40)]
+        a = np.concatenate([words_of(rng, 90), passage, words_of(rng, 20)])
+        b = np.concatenate([words_of(rng, 15), np.array(other, np.uint64), words_of(rng, 80)])
+        got = chains.pair_passages(a, b, 4, 50, 0.8)
+        assert all(max(x1 - x0, y1 - y0) >= 50 and m >= 0.8 * (max(x1 - x0, y1 - y0) - 1) for x0, x1, y0, y1, m in got)
+        told += any(x0 < 150 and x1 > 90 for x0, x1, *_ in got)
+    assert told >= (36 if edit == "substitute" or identity > 0.8 else 28)
+
+
+def test_passages_within_one_text_are_told():
+    rng = random.Random(3)
+    passage = words_of(rng, 70)
+    other = passage.copy()
+    other[::12] = words_of(rng, len(other[::12]))
+    text = np.concatenate([words_of(rng, 30), passage, words_of(rng, 200), other, words_of(rng, 10)])
+    assert [p[:4] for p in chains.pair_passages(text, text, 4, 50, 0.8, same=True)] == [(31, 100, 301, 370)]
+
+
+@pytest.mark.parametrize(("rate", "length"), [(0.05, 60), (0.1, 60), (0.1, 100)])
+def test_members_of_reworded_families_are_told(spark, rate, length):
+    rng = random.Random(length)
+    passage, texts, rows = prose(rng, length).split(), [], []
+    for i in range(120):
+        texts.append([w if rng.random() > rate else f"{prose(rng, 1)}{rng.randrange(99)}" for w in passage])
+        rows.append((i, f"{prose(rng, 30)} {' '.join(texts[-1])} {prose(rng, 30)}"))
+    alike = lambda a, b: sum(x == y for x, y in zip(a, b)) >= 0.8 * length
+    want = {i for i in range(120) if any(alike(texts[i], texts[j]) for j in range(120) if j != i)}
+    got = chains.fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = {r["doc_id"] for r in got.collect() if r["start"] < 30 + length and r["end"] > 30}
+    assert len(want & found) >= 0.95 * len(want)
 
 
 def test_chains_find_both_passages_of_a_pair(spark):
@@ -250,8 +290,13 @@ def test_chains_lose_no_document_whose_seeds_are_frequent(spark):
     assert [p for p in pairs if not any({r["doc_id"], r["other_doc_id"]} == p and r["end"] - r["start"] >= 60 for r in got)] == []
 
 
-def test_common_seeds_pair_all_positions():
-    assert sorted(chains.common_seeds(([5, 6, 5], [0, 3, 9]), ([5, 7, 5], [2, 4, 8]))) == [(0, 2), (0, 8), (9, 2), (9, 8)]
+def test_common_runs_of_two_texts():
+    a, b = np.array([5, 6, 5, 9], np.uint64), np.array([5, 6, 5, 7, 9], np.uint64)
+    assert sorted(map(tuple, chains.common_runs(a, b, False).tolist())) == [(0, 0, 3), (0, 2, 1), (2, 0, 1), (3, 4, 1)]
+    assert chains.common_runs(a, np.array([1], np.uint64), False).tolist() == []
+    many = np.array([1] * 50, np.uint64)
+    assert (0, 0, 50) in map(tuple, chains.common_runs(many, many.copy(), False).tolist())
+    assert sorted(map(tuple, chains.common_runs(many, many, True).tolist())) == [(0, 1, 49), (0, 2, 48)]
 
 
 # -- op3 ----------------------------------------------------------------------------------------
