@@ -71,18 +71,19 @@ def distinct_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.where(text.isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), text.alias("text"))
 
 
-def repeated_kmers(suffixes: DataFrame, within: bool) -> DataFrame:
-    """``g, n`` of the k-mers that stand in two texts or more, or (``within``) twice in one.
+def repeated_kmers(suffixes: DataFrame) -> DataFrame:
+    """``g, n`` of the k-mers that stand in two places or more, copies of a text being one.
 
-    Four numbers for each k-mer, so the aggregation combines before the shuffle.
+    Three small numbers for each k-mer, so the aggregation combines before the shuffle.
     """
-    seen = suffixes.groupBy("g").agg(F.min("digest").alias("d0"), F.max("digest").alias("d1"), F.min("pos").alias("p0"), F.max("pos").alias("p1"), F.count("*").alias("n"))
-    return seen.where("d0 <> d1 or p0 <> p1" if within else "d0 <> d1").select("g", "n")
+    place = F.hash("digest", "pos")
+    seen = suffixes.groupBy("g").agg(F.min(place).alias("p0"), F.max(place).alias("p1"), F.count("*").alias("n"))
+    return seen.where("p0 <> p1").select("g", "n")
 
 
 def repeated_seeds(suffixes: DataFrame) -> DataFrame:
     """Per text, the positions whose k-mer also stands elsewhere: ``digest, first_doc, spots``."""
-    repeated = cut(repeated_kmers(suffixes, within=True))
+    repeated = cut(repeated_kmers(suffixes))
     held, repeated = spread(suffixes, repeated, "g", "n", suffixes.count(), ["digest", "pos"])
     return held.join(repeated, ["g", "salt"], "left_semi").groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.sort_array(F.collect_set("pos")).alias("spots"))
 

@@ -251,7 +251,8 @@ def test_passages_within_one_text_are_told():
     other = passage.copy()
     other[::12] = words_of(rng, len(other[::12]))
     text = np.concatenate([words_of(rng, 30), passage, words_of(rng, 200), other, words_of(rng, 10)])
-    assert [p[:4] for p in chains.pair_passages(text, text, 4, 50, 0.8, same=True)] == [(31, 100, 301, 370)]
+    assert [p[:4] for p in chains.pair_passages(text[:150], text[250:], 4, 50, 0.8, shift=250)] == [(31, 100, 51, 120)]
+    assert [p[:4] for p in chains.pair_passages(text, text, 4, 50, 0.8, shift=0)] == [(31, 100, 301, 370)]
 
 
 @pytest.mark.parametrize(("rate", "length"), [(0.05, 60), (0.1, 60), (0.1, 100)])
@@ -292,11 +293,10 @@ def test_chains_lose_no_document_whose_seeds_are_frequent(spark):
 
 def test_common_runs_of_two_texts():
     a, b = np.array([5, 6, 5, 9], np.uint64), np.array([5, 6, 5, 7, 9], np.uint64)
-    assert sorted(map(tuple, chains.common_runs(a, b, False).tolist())) == [(0, 0, 3), (0, 2, 1), (2, 0, 1), (3, 4, 1)]
-    assert chains.common_runs(a, np.array([1], np.uint64), False).tolist() == []
+    assert sorted(map(tuple, chains.common_runs(a, b).tolist())) == [(0, 0, 3), (0, 2, 1), (2, 0, 1), (3, 4, 1)]
+    assert chains.common_runs(a, np.array([1], np.uint64)).tolist() == []
     many = np.array([1] * 50, np.uint64)
-    assert (0, 0, 50) in map(tuple, chains.common_runs(many, many.copy(), False).tolist())
-    assert sorted(map(tuple, chains.common_runs(many, many, True).tolist())) == [(0, 1, 49), (0, 2, 48)]
+    assert (0, 0, 50) in map(tuple, chains.common_runs(many, many.copy()).tolist())
 
 
 # -- op3 ----------------------------------------------------------------------------------------
