@@ -19,12 +19,21 @@ from tallyloom.plans.registered import query
 from tallyloom.sources import results, scan
 
 
-@query("""
-SELECT page_id AS file_id, url LIKE '%://%' AND NOT regexp_matches(url, '^https?://') AS local_path, url LIKE '%:%' AS uri,
-  CASE WHEN url LIKE '%://%' AND NOT regexp_matches(url, '^https?://') THEN '[absolute-path-omitted]' ELSE url END AS shown FROM pages""")
+@query(r"""
+WITH t AS (
+  SELECT page_id, page_id % 10 AS k, CASE page_id % 10 WHEN 1 THEN 'C:\data\' || page_id WHEN 2 THEN 'from \\host' || page_id || '\share' WHEN 3 THEN 'see "/srv/' || page_id || '"'
+    WHEN 4 THEN 'file:' || page_id WHEN 5 THEN 's3://bucket/' || page_id WHEN 6 THEN 'runs/' || page_id || '.csv' WHEN 7 THEN '\' || page_id
+    WHEN 8 THEN url || ' and /' || page_id WHEN 9 THEN 'ratio 1/' || page_id ELSE url END AS u FROM pages)
+SELECT page_id AS file_id, k NOT IN (0, 6, 9) OR (k = 0 AND contains(u, '://') AND NOT regexp_matches(u, '^https?://')) AS local_path, contains(u, ':') AS uri,
+  CASE WHEN k NOT IN (0, 6, 9) OR (k = 0 AND contains(u, '://') AND NOT regexp_matches(u, '^https?://')) THEN '[absolute-path-omitted]' ELSE u END AS shown FROM t""")
 def url_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = F.col("url")
-    return A.table(spark, sf_dir, "pages").select(F.col("page_id").alias("file_id"), T.has_local_path(u).alias("local_path"), T.has_uri_reference(u).alias("uri"), T.scrub_local_path(u).alias("shown"))
+    """The pages' addresses, and one in ten of each kind of path made from the page's number."""
+    n, k, cat = F.col("page_id").cast("string"), F.col("page_id") % 10, lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    made = [cat("C:\\data\\", n), cat("from \\\\host", n, "\\share"), cat('see "/srv/', n, '"'), cat("file:", n), cat("s3://bucket/", n), cat("runs/", n, ".csv"), cat("\\", n), cat(F.col("url"), " and /", n), cat("ratio 1/", n)]
+    u = F.coalesce(*[F.when(k == i, m) for i, m in enumerate(made, 1)], F.col("url"))
+    texts = A.table(spark, sf_dir, "pages").select("page_id", u.alias("u"))
+    u = F.col("u")
+    return texts.select(F.col("page_id").alias("file_id"), T.has_local_path(u).alias("local_path"), T.has_uri_reference(u).alias("uri"), T.scrub_local_path(u).alias("shown"))
 
 
 @query("""

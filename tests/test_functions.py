@@ -51,20 +51,20 @@ def test_preview_display(spark):
 
 
 def test_local_paths(spark):
-    inside = ["C:\\data\\x", "at D:/x now", "\\\\host\\share", "\\root", "/etc/passwd", "see (/tmp/x)", "file:a", "s3://bucket/a"]
-    outside = ["plain text", "a/b", "http://host/a/b", "https://host/x?y=/z", "ratio 1/2", "key: value", "12:30"]
+    inside = ["q:'x C:y", "http://h/c:d", "(\\x", "\\\\h\\s http://a", "/http://x", "a:/http://x", "FILE:", "x+file://", "http:// /x", "é/x", "C:\\data\\x", "at D:/x now", "\\\\host\\share", "\\root", "/etc/passwd", "see (/tmp/x)", "file:a", "s3://bucket/a"]
+    outside = ["plain text", "a/b", "http://host/a/b", "https://host/x?y=/z", "ratio 1/2", "key: value", "12:30", "", "/", "\\\\h", "ab\\c", "x:", "1http://a/b", "HTTPS://a//b", "a\\\\b", "myfile:x", "http://", "_/a"]
     assert results(column(spark, inside), T.has_local_path(F.col("x"))) == [True] * len(inside)
     assert results(column(spark, outside), T.has_local_path(F.col("x"))) == [False] * len(outside)
     assert results(column(spark, ["/tmp/x", "x"]), T.scrub_local_path(F.col("x"))) == [T.PATH_PLACEHOLDER, "x"]
 
 
 def test_locators(spark):
-    values = ["table:row:3", "table:row:3:column:2", "sheet:1:cell:AB12", "canonical:a.b", "relative/name", "mailto:x", "/abs", "a\x01"]
-    assert results(column(spark, values), T.locator_is_unsafe(F.col("x"))) == [False] * 5 + [True] * 3
+    values = ["table:row:3", "table:row:3:column:2", "sheet:1:cell:AB12", "canonical:a.b", "relative/name", "sheet:1:cell:AB12:x", "mailto:x", "/abs", "a\x01", "sheet:1:cell:A01", "canonical:", ":row:3", "a?b:row:3"]
+    assert results(column(spark, values), T.locator_is_unsafe(F.col("x"))) == [False] * 5 + [True] * 6 + [False, True]
 
 
 def test_codes_bounds_and_names(spark):
-    assert results(column(spark, ["A_1", "a", "1A", "A" * 65, "A\n"]), T.issue_code_is_valid(F.col("x"))) == [True, False, False, False, False]
+    assert results(column(spark, ["A_1", "a", "1A", "A" * 65, "A\n", "", "A" * 64, "_A"]), T.issue_code_is_valid(F.col("x"))) == [True, False, False, False, False, False, True, False]
     assert results(column(spark, ["1" * 1000, "0" * 9 + "1" * 1000, "1" * 1001]), T.integer_within_bound(F.col("x"))) == [True, True, False]
     assert T.dataset_names(["Peaks", "peaks", "a/b", "history", "x" * 40, "x" * 40]) == ["Peaks", "peaks_2", "a_b", "History_", "x" * 31, "x" * 29 + "_2"]
     assert results(column(spark, [" R-T  min ", "Peak\tNo", "ÄREA"]), T.normal_header(F.col("x"))) == ["r_t_min", "peak_no", "ärea"]
