@@ -7,6 +7,10 @@ follows and, a second time, by what precedes; neighbours in either order are com
 is extended right and left from the minimiser. Long matches are found piecewise, minimiser by
 minimiser, so a bounded context of each suffix is enough, and pieces are merged.
 
+A suffix's nearest neighbours can hide a partner that is good on both sides. So the windows of
+``min_words`` words through a minimiser that no neighbour covers are looked up by their hashes, and
+those that stand twice are matches too: no repeated window is missed.
+
 Copies of a text are one text from the start and suffixes with equal contexts one suffix, so neither
 copies nor a passage that a third of all documents share meet in one task; the sorts are by range of
 the whole context, which splits what a hash of one key could not.
@@ -22,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, byte_words, cut, merge_spans, range_hashes, spread
+from .common import BASE, LOWER_BYTES, byte_words, cut, merge_spans, range_hashes, spread
 
 
 def word_hashes(text: bytes | None) -> np.ndarray:
@@ -161,18 +165,52 @@ def _neighbours(contexts: DataFrame, order: list[str], min_words: int) -> DataFr
     return seen.where("task is null").select("c", "left", "right", "other").unionByName(ends)
 
 
+def _open_windows(contexts: DataFrame, matches: DataFrame, min_words: int) -> DataFrame:
+    """``c, carrier, last, left, h``: the windows of ``min_words`` words through each context's minimiser
+    that no match covers, with the words before the minimiser and the window's hash."""
+    found = matches.groupBy("c").agg(F.collect_set(F.struct("left", "right")).alias("found"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+        for batch in batches:
+            parts: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in kinds]
+            for c, carrier, last, ahead, behind, spans in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                words = np.concatenate([np.frombuffer(behind, ">u4")[::-1], np.frombuffer(ahead, ">u4")]).astype(np.uint64)
+                before = len(behind) // 4
+                start = np.arange(0, max(0, min(before, len(words) - min_words) + 1))
+                for s in spans or []:
+                    start = start[(before - start > s["left"]) | (start + min_words - before > s["right"])]
+                # The minimiser's place counts: one place's window isn't two through two minimisers.
+                h = (range_hashes(words, start, start + min_words) + (before - start).astype(np.uint64) * np.uint64(BASE)).view(np.int64)
+                for part, value in zip(parts, (np.full(len(h), c), np.full(len(h), carrier), np.full(len(h), last), before - start, h), strict=True):
+                    part.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p), t) for p, t in zip(parts, kinds, strict=True)], ["c", "carrier", "last", "left", "h"])
+
+    rows = contexts.join(found, "c", "left").select("c", "carrier", "last", "ahead", "behind", "found")
+    return rows.mapInArrow(run, "c long, carrier long, last long, left int, h long")
+
+
+def _window_matches(contexts: DataFrame, matches: DataFrame, min_words: int) -> DataFrame:
+    """``c, left, right, other`` for the open windows that stand in two contexts or more."""
+    windows = cut(_open_windows(contexts, matches, min_words))
+    seen = windows.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("carrier").alias("d0"), F.max("last").alias("d1"), F.count("*").alias("n"))
+    windows, seen = spread(windows, cut(seen.where("c0 <> c1").select("h", "d0", "d1", "n")), "h", "n", windows.count(), ["c", "left"])
+    twice = windows.join(seen, ["h", "salt"])
+    return twice.select("c", "left", (F.lit(min_words) - F.col("left")).alias("right"), F.explode(F.array("d0", "d1")).alias("other"))
+
+
 def repeated_passages(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, k: int = 16
 ) -> DataFrame:
     """``doc_id, start, end, other_doc_id``: the stretches of each document, in words, that match
     ``min_words`` consecutive words or more elsewhere, and the smallest id of one place they match.
 
-    Words are runs of other than ASCII white space, A-Z in lower case. Touching stretches are one
-    row. A match inside one document counts. Rows with equal texts are copies: with ``min_words``
-    words or more, all of the text is one stretch, and each copy gets the rows of its text. Null
-    texts and texts under ``min_words`` words have no rows, and null ids stay null. An empty table
-    gives an empty result; other columns are not read. Of a match, up to ``min_words - k`` words at
-    its left edge can be missed where each neighbour in both orders matches less there.
+    Every word of every window of ``min_words`` words that stands twice or more is told. Words are
+    runs of other than ASCII white space, A-Z in lower case. Touching stretches are one row. A match
+    inside one document counts. Rows with equal texts are copies: with ``min_words`` words or more,
+    all of the text is one stretch, and each copy gets the rows of its text. Null texts and texts
+    under ``min_words`` words have no rows, and null ids stay null. An empty table gives an empty
+    result; other columns are not read.
     """
     window = min_words - k + 1
     texts = distinct_texts(docs, id_col, text_col)
@@ -182,26 +220,27 @@ def repeated_passages(
     place = F.struct("digest", "pos")
     distinct = cut(
         contexts.groupBy("c").agg(
-            F.first("ahead").alias("ahead"), F.first("behind").alias("behind"), F.min("digest").alias("carrier"), F.max("digest").alias("last"), (F.min(place) != F.max(place)).alias("repeated")
+            F.first("ahead").alias("ahead"), F.first("behind").alias("behind"), F.min("digest").alias("carrier"), F.max("digest").alias("last"), (F.min(place) != F.max(place)).alias("repeated"), F.count("*").alias("n")
         )
     )
     words = lambda c: (F.length(c) / 4).cast("int")
-    same = distinct.where("repeated").select("c", words("behind").alias("left"), words("ahead").alias("right"), F.col("last").alias("other"))
-    same = same.unionByName(distinct.where("repeated").select("c", words("behind").alias("left"), words("ahead").alias("right"), F.col("carrier").alias("other")))
+    same = distinct.where("repeated").select("c", words("behind").alias("left"), words("ahead").alias("right"), F.explode(F.array("carrier", "last")).alias("other"))
     same = same.where(F.col("left") + F.col("right") >= min_words)
-    matches = same.unionByName(_neighbours(distinct, ["ahead", "behind"], min_words)).unionByName(_neighbours(distinct, ["behind", "ahead"], min_words))
+    matches = cut(same.unionByName(_neighbours(distinct, ["ahead", "behind"], min_words)).unionByName(_neighbours(distinct, ["behind", "ahead"], min_words)))
+    matches = matches.unionByName(_window_matches(distinct, matches, min_words))
     best = matches.groupBy("c", "left", "right").agg(F.min("other").alias("o0"), F.max("other").alias("o1"))
-    spans = contexts.select("digest", "pos", F.col("c").alias("cc")).join(best, F.col("cc") == F.col("c")).select(
+    best = best.groupBy("c").agg(F.collect_list(F.struct("left", "right", "o0", "o1")).alias("found"))
+    places, best = spread(contexts.select("digest", "pos", "c"), cut(best.join(distinct.select("c", "n"), "c")), "c", "n", contexts.count(), ["digest", "pos"])
+    spans = places.join(best, ["c", "salt"]).select("digest", "pos", F.inline("found")).select(
         "digest", (F.col("pos") - F.col("left")).alias("start"), (F.col("pos") + F.col("right")).alias("end"),
         F.when(F.col("o0") != F.col("digest"), F.col("o0")).otherwise(F.col("o1")).alias("other"),
     )
     n_words = F.size(F.filter(F.split("text", "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != ""))
-    copies = texts.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
-    carriers = copies.select(F.col("digest").alias("d"), "first_doc")
-    whole = texts.join(carriers, (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("first_doc")))
+    names = cut(texts.groupBy("digest").agg(F.min("doc_id").alias("other_doc_id"), F.count("*").alias("copies")))
+    carriers = names.where("copies > 1").select(F.col("digest").alias("d"), "other_doc_id")
+    whole = texts.join(carriers, (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("other_doc_id"))).dropDuplicates(["digest"])
     whole = whole.select("digest", F.lit(0).alias("start"), n_words.alias("end"), F.col("digest").alias("other")).where(F.col("end") >= min_words)
     merged = spans.unionByName(whole).groupBy("digest").agg(merge_spans(F.collect_set(F.struct("start", "end"))).alias("spans"), F.min_by("other", F.when(F.col("other") == F.col("digest"), 1).otherwise(0)).alias("other"))
-    names = texts.groupBy("digest").agg(F.min("doc_id").alias("other_doc_id")).withColumnRenamed("digest", "d2")
-    merged = cut(merged.join(names, F.col("other") == F.col("d2")).select(F.col("digest").alias("d"), "spans", "other_doc_id"))
-    ids = texts.select("doc_id", "digest")
-    return ids.join(merged, F.col("digest") == F.col("d")).select("doc_id", F.inline("spans"), "other_doc_id")
+    merged = merged.join(names.select("digest", "copies"), "digest").join(names.select(F.col("digest").alias("other"), "other_doc_id"), "other")
+    ids, merged = spread(texts.select("doc_id", "digest"), cut(merged), "digest", "copies", texts.count(), ["doc_id"])
+    return ids.join(merged, ["digest", "salt"]).select("doc_id", F.inline("spans"), "other_doc_id")

@@ -172,6 +172,25 @@ def test_suffix_dedup_over_many_sort_tasks(spark):
     assert covered(suffixes.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == repeated_words(rows)
 
 
+def test_suffix_dedup_finds_what_nearer_neighbours_hide(spark):
+    """Decoys go on alike further to the right, others further to the left, none on both sides."""
+    rng = random.Random(17)
+    for left in (5, 17, 25, 34):
+        passage, after, before = prose(rng, 50).split(), prose(rng, 60).split(), prose(rng, 60).split()
+        rows = [(i, f"{prose(rng, 20)} {' '.join(passage)} {prose(rng, 20)}") for i in (1, 2)]
+        rows += [(100 + i, f"{prose(rng, 30)} {' '.join(passage[left:] + after[: 3 + i % 7])} {prose(rng, 9)}") for i in range(24)]
+        rows += [(200 + i, f"{prose(rng, 9)} {' '.join(before[-3 - i % 7 :] + passage[:left + 16])} {prose(rng, 30)}") for i in range(24)]
+        got = suffixes.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert covered(got) == repeated_words(rows)
+
+
+def test_suffix_dedup_of_edited_families(spark):
+    rng = random.Random(23)
+    base = prose(rng, 120).split()
+    rows = [(i, " ".join([*base[:e], "edit", *base[e + 1 :]])) for i in range(120) for e in [rng.randrange(120)]]
+    assert covered(suffixes.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == repeated_words(rows)
+
+
 def test_minimisers_are_chosen_by_content():
     rng = np.random.default_rng(1)
     common = rng.integers(0, 1 << 60, 80, dtype=np.uint64)
