@@ -476,7 +476,7 @@ def test_fingerprint_links_match_brute_force(spark, bits):
         fps.add(x)
     fps = sorted(fps)
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    got = {r["node"]: r["root"] for r in simhash.link_classes(spark.createDataFrame([(x, x, 1) for x in signed], "node long, fp long, weight long"), bits, large_group=8).collect()}
+    got = {r["node"]: r["root"] for r in simhash.link_classes(spark.createDataFrame([(x, x) for x in signed], "node long, fp long"), bits, large_group=8).collect()}
     root = {x: x for x in signed}
 
     def find(x):
@@ -501,6 +501,33 @@ def test_near_duplicates_keep_one(spark, docs):
     assert simhash.drop_near_duplicates(empty(spark)).count() == 0
 
 
+def test_near_duplicates_reach_the_similarity(spark):
+    """Pairs edited to all similarities from 0.7 on, and a family of edited copies, against all pairs."""
+    rng = random.Random(41)
+    texts = []
+    for _ in range(120):
+        words = prose(rng, 150).split()
+        other = list(words)
+        for i in rng.sample(range(150), rng.randint(1, 5)):
+            other[i] = f"new{rng.randrange(1000)}"
+        texts += [" ".join(words), " ".join(other)]
+    base = prose(rng, 120).split()
+    for _ in range(60):
+        words = list(base)
+        for i in rng.sample(range(120), rng.randint(0, 3)):
+            words[i] = f"new{rng.randrange(1000)}"
+        texts.append(" ".join(words))
+    sets = [frozenset(simhash.shingles(t.encode(), 5)) for t in texts]
+    links = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    rows = simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    root = {r["doc_id"]: r["root"] for r in rows}
+    first = {t: i for i, t in reversed(list(enumerate(texts)))}
+    same = [root[first[texts[i]]] == root[first[texts[j]]] for i, j in links]
+    assert len(links) > 100 and sum(same) >= 0.95 * len(same)
+    linked = {i for pair in links for i in pair}
+    assert all(len({d for d in root if root[d] == r}) == 1 for i, r in root.items() if i not in linked)
+
+
 # -- op6 ----------------------------------------------------------------------------------------
 
 
