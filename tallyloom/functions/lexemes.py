@@ -17,7 +17,7 @@ MAX_DIGITS = 1_000
 
 
 def stripped(lexeme: Column) -> Column:
-    return F.regexp_replace(lexeme, r"^\s+|\s+$", "")
+    return F.trim(lexeme, F.lit(" \t\n\x0b\f\r"))
 
 
 def mapped_text(lexeme: Column) -> Column:
@@ -34,9 +34,14 @@ def parse_lexeme(lexeme: Column) -> Column:
     return F.struct(F.when(trimmed != "", trimmed).alias("value"), F.when((trimmed != lexeme) & (trimmed != ""), "PARSE_LEXEME_WHITESPACE_TRIMMED").alias("code"))
 
 
+def _mantissa(text: Column) -> Column:
+    return F.substring_index(F.translate(text, "E", "e"), "e", 1)
+
+
 def _power(text: Column) -> Column:
     """The power of ten of a number; the cast is tried only on digits, since its failure is slow."""
-    return F.when(text.rlike(r"[eE][+\-]?[0-9]{1,9}$"), F.regexp_extract(text, r"[eE]([+\-]?[0-9]{1,9})$", 1).cast("int")).otherwise(0)
+    tail = F.substring_index(F.translate(text, "E", "e"), "e", -1)
+    return F.when(text.contains("e") | text.contains("E"), F.when(tail.rlike(r"^[+\-]?[0-9]{1,9}$"), tail.cast("int"))).otherwise(0)
 
 
 def _slow_float(text: str | None) -> tuple[float | None, str | None]:
@@ -54,8 +59,8 @@ def _slow_float(text: str | None) -> tuple[float | None, str | None]:
 def exact_float(lexeme: Column) -> Column:
     """``value, code``: a double only if its shortest decimal form equals the lexeme.
 
-    Plain numbers of up to 15 digits and moderate size are exact and are cast; the others go
-    through an Arrow function with decimals.
+    Plain numbers of up to 15 digits and moderate size are exact and are cast, and what can be no
+    number gets its code at once; the others go through an Arrow function with decimals.
     """
 
     @F.arrow_udf("struct<value:double,code:string>")
@@ -67,15 +72,17 @@ def exact_float(lexeme: Column) -> Column:
         return pa.StructArray.from_arrays([pa.array([v for v, _ in found], pa.float64()), pa.array([c for _, c in found], pa.string())], ["value", "code"])
 
     def sorted_out(text: Column) -> Column:
-        """The trimmed text where it has any, and its double where the cast is sure to be exact."""
-        digits = F.length(F.regexp_replace(F.regexp_replace(text, "[eE].*$", ""), r"[+\-.]|^[+\-]?0+", ""))
-        power = _power(text)
-        plain = is_number_text(text) & (digits <= 15) & power.between(-200, 200) & (F.length(text) <= 40)
-        return F.struct(F.when((text != "") & ~plain, text).alias("odd"), F.when(plain, text.try_cast("double")).alias("value"))
+        """The trimmed text where only decimals tell, else its double or its code."""
+        digits = F.length(F.ltrim(F.translate(_mantissa(text), "+-.", ""), F.lit("0")))
+        number = is_number_text(text)
+        plain = (F.length(text) <= 40) & number & (digits <= 15) & F.coalesce(_power(text), F.lit(999)).between(-200, 200)
+        # Underscores between digits and digits of other scripts count too: those are for the slow way.
+        none = ~number & text.rlike("^[ -^`-~]+$") & ~text.rlike("(?i)nan|inf")
+        return F.struct(F.when((text != "") & ~plain & ~none, text).alias("odd"), F.when(plain, text.try_cast("double")).alias("value"), F.when(none, "INVALID_NUMBER").alias("code"))
 
     # The bound variable keeps the text from being trimmed again for each use.
     found = F.transform(F.array(stripped(lexeme)), sorted_out)[0]
-    quick = F.struct(found["value"].alias("value"), F.lit(None).cast("string").alias("code"))
+    quick = F.struct(found["value"].alias("value"), found["code"].alias("code"))
     return F.when(found["odd"].isNull(), quick).otherwise(slow(found["odd"]))
 
 
@@ -84,15 +91,16 @@ def bounded_integer(lexeme: Column) -> Column:
 
     Integers beyond 38 digits and up to a thousand stay lexemes with ``INTEGER_BEYOND_DECIMAL``.
     """
-    text = F.regexp_replace(stripped(lexeme), "(?<=[0-9])_(?=[0-9])", "")
-    mantissa = F.regexp_replace(text, "[eE].*$", "")
-    power = _power(text)
+    bare = stripped(lexeme)
+    text = F.when(bare.contains("_"), F.regexp_replace(bare, "(?<=[0-9])_(?=[0-9])", "")).otherwise(bare)
+    mantissa = _mantissa(text)
+    fraction = F.when(mantissa.contains("."), F.substring_index(mantissa, ".", -1)).otherwise("")
     parts = F.struct(
         F.when(text != "", text).alias("text"),
         is_number_text(text).alias("number"),
         F.when(mantissa.startswith("-"), "-").otherwise("").alias("sign"),
-        F.regexp_replace(F.regexp_replace(mantissa, r"[+\-.]", ""), "^0+", "").alias("digits"),
-        (power - F.length(F.regexp_extract(mantissa, r"\.([0-9]*)$", 1))).alias("exponent"),
+        F.ltrim(F.translate(mantissa, "+-.", ""), F.lit("0")).alias("digits"),
+        (F.coalesce(_power(text), F.lit(0)) - F.length(fraction)).alias("exponent"),
         (F.length(lexeme) > MAX_INTEGER_LEXEME).alias("long"),
     )
 
@@ -100,9 +108,9 @@ def bounded_integer(lexeme: Column) -> Column:
         digits, exponent = p["digits"], p["exponent"]
         zero = digits == ""
         too_big = (F.abs(exponent) > MAX_DIGITS) | (~zero & (F.length(digits) - 1 + exponent >= MAX_DIGITS))
-        trailing = F.length(digits) - F.length(F.regexp_replace(digits, "0+$", ""))
+        trailing = F.length(digits) - F.length(F.rtrim(digits, F.lit("0")))
         is_whole = zero | (exponent >= 0) | (trailing >= -exponent)
-        special = p["text"].rlike(r"^(?i)[+\-]?(nan|snan|inf|infinity)[0-9]*$")
+        special = ~p["number"] & p["text"].rlike(r"^(?i)[+\-]?(nan|snan|inf|infinity)[0-9]*$")
         code = (
             F.when(p["text"].isNull(), None)
             .when(p["long"], "INTEGER_LIMIT_EXCEEDED")
@@ -120,7 +128,9 @@ def bounded_integer(lexeme: Column) -> Column:
         value = p["whole"].try_cast("decimal(38,0)")
         return F.struct(value.alias("value"), F.coalesce(p["code"], F.when(p["whole"].isNotNull() & value.isNull(), "INTEGER_BEYOND_DECIMAL")).alias("code"))
 
-    return F.transform(F.transform(F.array(parts), read), typed)[0]
+    # Most integers are plain digits: one look and a cast.
+    plain = F.struct(lexeme.try_cast("decimal(38,0)").alias("value"), F.lit(None).cast("string").alias("code"))
+    return F.when(lexeme.rlike("^-?[0-9]{1,18}$"), plain).otherwise(F.transform(F.transform(F.array(parts), read), typed)[0])
 
 
 _DATE = r"[0-9]{4}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])"
