@@ -166,15 +166,15 @@ def _neighbours(contexts: DataFrame, order: list[str], min_words: int) -> DataFr
 
 
 def _open_windows(contexts: DataFrame, matches: DataFrame, min_words: int) -> DataFrame:
-    """``c, carrier, last, left, h``: the windows of ``min_words`` words through each context's minimiser
+    """``c, left, h``: the windows of ``min_words`` words through each context's minimiser
     that no match covers, with the words before the minimiser and the window's hash."""
     found = matches.groupBy("c").agg(F.collect_set(F.struct("left", "right")).alias("found"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+        kinds = [pa.int64(), pa.int32(), pa.int64()]
         for batch in batches:
             parts: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in kinds]
-            for c, carrier, last, ahead, behind, spans in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            for c, ahead, behind, spans in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 words = np.concatenate([np.frombuffer(behind, ">u4")[::-1], np.frombuffer(ahead, ">u4")]).astype(np.uint64)
                 before = len(behind) // 4
                 start = np.arange(0, max(0, min(before, len(words) - min_words) + 1))
@@ -182,20 +182,24 @@ def _open_windows(contexts: DataFrame, matches: DataFrame, min_words: int) -> Da
                     start = start[(before - start > s["left"]) | (start + min_words - before > s["right"])]
                 # The minimiser's place counts: one place's window isn't two through two minimisers.
                 h = (range_hashes(words, start, start + min_words) + (before - start).astype(np.uint64) * np.uint64(BASE)).view(np.int64)
-                for part, value in zip(parts, (np.full(len(h), c), np.full(len(h), carrier), np.full(len(h), last), before - start, h), strict=True):
+                for part, value in zip(parts, (np.full(len(h), c), before - start, h), strict=True):
                     part.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p), t) for p, t in zip(parts, kinds, strict=True)], ["c", "carrier", "last", "left", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p), t) for p, t in zip(parts, kinds, strict=True)], ["c", "left", "h"])
 
-    rows = contexts.join(found, "c", "left").select("c", "carrier", "last", "ahead", "behind", "found")
-    return rows.mapInArrow(run, "c long, carrier long, last long, left int, h long")
+    rows = contexts.join(found, "c", "left").select("c", "ahead", "behind", "found")
+    return rows.mapInArrow(run, "c long, left int, h long")
 
 
 def _window_matches(contexts: DataFrame, matches: DataFrame, min_words: int) -> DataFrame:
     """``c, left, right, other`` for the open windows that stand in two contexts or more."""
     windows = cut(_open_windows(contexts, matches, min_words))
-    seen = windows.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("carrier").alias("d0"), F.max("last").alias("d1"), F.count("*").alias("n"))
-    windows, seen = spread(windows, cut(seen.where("c0 <> c1").select("h", "d0", "d1", "n")), "h", "n", windows.count(), ["c", "left"])
-    twice = windows.join(seen, ["h", "salt"])
+    some = F.hash("c")
+    seen = windows.groupBy("h").agg(F.min(some).alias("s0"), F.max(some).alias("s1"), F.count("*").alias("n")).where("s0 <> s1").select("h", "n")
+    held, seen = spread(windows, cut(seen), "h", "n", windows.count(), ["c", "left"])
+    twice = cut(held.join(seen, ["h", "salt"], "left_semi").select("h", "c", "left").join(contexts.select("c", "carrier", "last"), "c"))
+    ends = twice.groupBy("h").agg(F.min("carrier").alias("d0"), F.max("last").alias("d1"), F.count("*").alias("n"))
+    twice, ends = spread(twice, cut(ends), "h", "n", twice.count(), ["c", "left"])
+    twice = twice.join(ends, ["h", "salt"])
     return twice.select("c", "left", (F.lit(min_words) - F.col("left")).alias("right"), F.explode(F.array("d0", "d1")).alias("other"))
 
 
