@@ -135,22 +135,40 @@ def fit_bags(
     return ToxicityModel(words[used], w[used], float(b))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> ToxicityModel:
+def bag_column(text: Column) -> Column:
+    """``h, s``: a text's features and the sentences they stand in."""
+
+    @F.arrow_udf("struct<h:array<long>,s:array<int>>")
+    def run(texts: pa.Array) -> pa.Array:
+        hashes, sentences = [], []
+        for t in texts:  # one text at a time is a Python object
+            h, s, *_ = bag([(t.as_py() or "").encode()])
+            hashes.append(h.view(np.int64))
+            sentences.append(s.astype(np.int32))
+        return pa.StructArray.from_arrays([pa.array(hashes, pa.list_(pa.int64())), pa.array(sentences, pa.list_(pa.int32()))], ["h", "s"])
+
+    return run(text)
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 2000, max_chars: int = 50_000) -> ToxicityModel:
     """Fit on at most ``per_class`` labelled documents of each class, weighted to the true shares.
 
     ``docs`` has ``doc_id, text``; ``labels`` has ``doc_id, toxic``. The sample is drawn by a hash
-    of the id; an id with differing labels counts as toxic.
+    of the id from documents of ``max_chars`` characters at most, so what comes to the driver, the
+    sample's features, is bounded. An id with differing labels counts as toxic; of an id's several
+    texts one is taken.
     """
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    held = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= max_chars)
+    mark = F.xxhash64(F.coalesce("text", F.lit("")))
+    known = known.join(held.groupBy("doc_id").agg(F.min(mark).alias("mark")), "doc_id")
     draw = F.xxhash64("doc_id", F.lit("toxicity"))
     parts = [known.where(F.col("toxic") == c).orderBy(draw, "doc_id").limit(per_class) for c in (0, 1)]
     drawn = parts[0].unionByName(parts[1])
-
-    # The drawn rows are bounded by twice per_class; their texts come to the driver.
-    rows = docs.join(F.broadcast(drawn), "doc_id").select("doc_id", "toxic", "text").collect()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], r["toxic"], r["text"] or ""))
-    bags = [bag([(r["text"] or "").encode()])[:2] for r in rows]
+    rows = held.withColumn("mark", mark).join(F.broadcast(drawn), ["doc_id", "mark"]).dropDuplicates(["doc_id"])
+    rows = sorted(rows.select("doc_id", "toxic", bag_column(F.col("text")).alias("bag")).collect(), key=lambda r: r["doc_id"])
+    bags = [(np.array(r["bag"]["h"], np.int64).view(np.uint64), np.array(r["bag"]["s"], np.int64)) for r in rows]
     y = np.array([r["toxic"] for r in rows])
     share = {c: sizes.get(c, 0) / max(1, (y == c).sum()) for c in (0, 1)}
     return fit_bags(bags, y, np.array([share[c] for c in y], float) if len(y) else np.ones(0))
@@ -188,7 +206,7 @@ def score_toxicity(
     """``doc_id, held_out, score, predicted`` for each row.
 
     Labels are learned only from ids that aren't held out (crc32 of the id modulo ``modulus`` equals
-    ``held``), at most ``per_class`` documents of each class. Null and empty texts are scored as one
+    ``held``), at most ``per_class`` documents of each class (see ``fit_toxicity``). Null and empty texts are scored as one
     sentence without words. Repeated rows each get a row; null ids are never held out. Without
     labels every text gets the same low score. An empty table gives an empty result.
     """
