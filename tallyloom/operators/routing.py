@@ -28,8 +28,8 @@ def graded(exact: Column, family: Column, exact_score: float = 0.99, family_scor
     return F.when(exact, exact_score).when(family, family_score)
 
 
-def probe_matrix(files: DataFrame, rules: list[Rule]) -> DataFrame:
-    """``file_id, adapter, matched, confidence, private, reason`` for each file and rule."""
+def graded_probes(rules: list[Rule]) -> Column:
+    """The claims of all rules on a file as an array; a missing claim counts as none."""
     rows = [
         F.struct(
             F.lit(r.adapter).alias("adapter"), F.coalesce(r.matched, F.lit(False)).alias("matched"),
@@ -38,7 +38,12 @@ def probe_matrix(files: DataFrame, rules: list[Rule]) -> DataFrame:
         )
         for r in rules
     ]
-    return files.select("file_id", F.inline(F.array(*rows)))
+    return F.array(*rows)
+
+
+def probe_matrix(files: DataFrame, rules: list[Rule]) -> DataFrame:
+    """``file_id, adapter, matched, confidence, private, reason`` for each file and rule."""
+    return files.select("file_id", F.inline(graded_probes(rules)))
 
 
 def best_routes(files: DataFrame, probes: DataFrame, forced: str | None = None) -> DataFrame:

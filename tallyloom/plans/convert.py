@@ -1,4 +1,8 @@
-"""From folders of delimited results to ordered tables, as one lazy plan."""
+"""From folders of results to ordered tables.
+
+Some intermediate tables are written to the shared folder while the plan is built, so calling
+``convert`` or ``inspect`` runs jobs; the tables that they return are evaluated when they are used.
+"""
 
 from __future__ import annotations
 
@@ -13,8 +17,10 @@ from tallyloom.operators import cells as C
 from tallyloom.operators import order as O
 from tallyloom.operators import tables as P
 from tallyloom.operators import validate as V
+from tallyloom.plans import routes as routing
 from tallyloom.plans.planning import Recipe
 from tallyloom.sources import scan
+from tallyloom.sources.formats import Formats
 
 
 @dataclass(frozen=True)
@@ -33,16 +39,29 @@ class Converted:
     summary: DataFrame
 
 
-def convert(spark: SparkSession, paths: list[str], recipe: Recipe | None = None) -> Converted:
-    """Read delimited result files, type them strictly, keep bad files apart and order the rest.
+def inspect(spark: SparkSession, paths: list[str], recipe: Recipe | None = None, formats: Formats | None = None) -> tuple[DataFrame, DataFrame]:
+    """What a conversion would say, with nothing published: each file's reader and status, and all issues."""
+    out = convert(spark, paths, recipe, formats)
+    return out.files.select("file_id", "relative_path", "adapter", "status", "error_code", "warning_code"), out.issues
+
+
+def convert(spark: SparkSession, paths: list[str], recipe: Recipe | None = None, formats: Formats | None = None) -> Converted:
+    """Read result files, type them strictly, keep bad files apart and order the rest.
 
-    Every file has a row in ``files`` and ``import_log``; rows of files with an error are in no
+    Sectioned and two-dimensional texts, signal sections, result XML and the user's ``formats`` go to
+    their readers, by probes of their content or all to the recipe's ``adapter``; other files are
+    delimited tables. Every file has a row in ``files`` and ``import_log``; rows of files with an error are in no
     other table.
     """
     recipe = recipe or Recipe()
     sources = scan.with_hash(scan.discover(spark, paths, recipe.recursive, list(recipe.extensions) or None))
     sources = cut(scan.mark_duplicates(scan.distinct_paths(sources), "path"))
-    cells = cut(scan.read_cells(spark, sources.where("duplicate_of is null"), paths, recipe.recursive))
+    fresh = sources.where("duplicate_of is null")
+    routes = routing.routed(spark, fresh, paths, recipe.recursive, formats, recipe.adapter)
+    unclear = routes.where("code is not null").select("file_id", "code", F.lit("error").alias("severity"))
+    other, other_issues = routing.result_peaks(routes.where("code is null"), formats)
+    tables = fresh.join(routes.where(F.col("adapter") == routing.TABLE).select("file_id"), "file_id", "left_semi")
+    cells = cut(scan.read_cells(spark, tables, paths, recipe.recursive))
     broken = cells.where("error is not null").select("file_id", F.col("error").alias("code"), F.lit("error").alias("severity"))
     good = cells.where("error is null")
     headers = good.where("row_no = 0").select("file_id", "col_no", F.col("lexeme").alias("header")).where("trim(header) <> ''")
@@ -55,7 +74,7 @@ def convert(spark: SparkSession, paths: list[str], recipe: Recipe | None = None)
     values = C.value_columns(typed)
 
     place = ["row_no"]
-    stem = values.join(sources.select("file_id", F.regexp_replace("name", r"\.[^.]*$", "").alias("stem")), "file_id")
+    stem = values.join(sources.select("file_id", routing.stem(F.col("name")).alias("stem")), "file_id")
     bound = O.elect_sample_id(stem, F.col("stem"), place)
     fields = [F.first(f, ignorenulls=True).over(Window.partitionBy("file_id").orderBy("row_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias(f"__{f}") for f in (*C.FILE_FIELDS, "acquired_at_reliable")]
     samples = (
@@ -65,22 +84,29 @@ def convert(spark: SparkSession, paths: list[str], recipe: Recipe | None = None)
             O.ordered_distinct("detector", place).alias("detectors"), O.ordered_distinct("channel", place).alias("channels"),
         )
     )
-    peaks = C.peak_rows(bound).join(sources.select("file_id", F.col("relative_path").alias("source_file")), "file_id")
+    of_file = sources.select("file_id", F.col("relative_path").alias("source_file"), routing.stem(F.col("name")).alias("sample_id"))
+    other = cut(other).join(of_file, "file_id").withColumn("status", F.lit("success"))
+    facts_of = routes.where((F.col("adapter") != routing.TABLE) & F.col("code").isNull()).join(of_file, "file_id")
+    streams = other.groupBy("file_id").agg(O.ordered_distinct("detector", place).alias("detectors"), O.ordered_distinct("channel", place).alias("channels"))
+    blank = [F.lit(None).cast(samples.schema[f].dataType).alias(f) for f in (*C.FILE_FIELDS, "acquired_at_reliable")]
+    samples = samples.unionByName(facts_of.join(streams, "file_id", "left").select("file_id", "sample_id", *blank, "detectors", "channels"))
+    peaks = C.peak_rows(bound).join(of_file.drop("sample_id"), "file_id")
     none = lambda t: F.lit(None).cast(t)
     peaks = peaks.select(
         "file_id", "row_no", "sample_id", "source_file", "channel", "detector", "peak_number", "retention_time", "retention_time_unit", "area", "height", "compound", "compound_source",
         F.lit("success").alias("status"), none("int").alias("observation_order"), none("double").alias("start_time"), none("double").alias("end_time"), none("string").alias("area_unit"),
         none("string").alias("height_unit"), none("double").alias("secondary_retention_time"), none("string").alias("secondary_retention_time_unit"),
     )
+    peaks = peaks.unionByName(other.select(peaks.columns))
     soft = C.value_issues(typed).select("file_id", "code", "severity").unionByName(C.extra_cell_issues(able, headers).select("file_id", "code", "severity"))
     more = bound.where("other_ids").select("file_id", F.lit("MULTIPLE_SAMPLE_IDS").alias("code"), F.lit("warning").alias("severity")).distinct()
     checks = V.peak_rules(peaks).select("file_id", "code").withColumn("severity", F.lit("error"))
-    issues = broken.unionByName(bad_headers).unionByName(unknown).unionByName(soft).unionByName(more).unionByName(checks).unionByName(scan.size_issues(sources).select("file_id", "code", "severity"))
+    issues = broken.unionByName(unclear).unionByName(other_issues).unionByName(bad_headers).unionByName(unknown).unionByName(soft).unionByName(more).unionByName(checks).unionByName(scan.size_issues(sources).select("file_id", "code", "severity"))
     number = F.row_number().over(Window.partitionBy("file_id").orderBy("severity", "code"))
     issues = cut(issues.withColumn("issue_no", number).withColumn("message", F.col("code")))
 
     settled = F.when(F.col("duplicate_of").isNotNull(), "duplicate")
-    log = P.import_log(sources.withColumn("status", settled), issues)
+    log = P.import_log(sources.join(routes.select("file_id", "adapter"), "file_id", "left").withColumn("status", settled), issues)
     facts = samples.select("file_id", "acquired_at", F.col("acquired_at_reliable").alias("reliable"), "sequence")
     files = log.join(facts, "file_id", "left").withColumn("ok", F.col("status").isin(*P.OK)).withColumn("public_id", F.lit(None).cast("string")).withColumn("reliable", F.coalesce("reliable", F.lit(False)))
     if recipe.on_error == "stop":

@@ -87,6 +87,36 @@ def test_convert(spark, folder, tmp_path):
         convert.publish(out, f"{tmp_path}/out")
 
 
+def test_convert_reads_all_formats(spark, tmp_path):
+    import pandas as pd
+
+    d = str(tmp_path / "mixed")
+    write(d, "a.csv", "rt,area\n1,2\n")
+    write(d, "b.txt", "[Header]\r\nApplication Name\tX\r\n\r\n[Peak Table(Ch1)]\r\n# of Peaks\t1\r\nPeak#\tR.Time\tI.Time\tF.Time\tArea\tHeight\tName\r\n1\t1.5\t1.0\t2.0\t10\t3\tethanol\r\n")
+    write(d, "c.csv", "Signal No.\tSignal Name\tPeak No.\tReten. time [min]\tArea\tHeight\tArea %\tHeight %\tW05\r\n1\t\uac00\t1\t1.25\t5\t2\t1\t1\t1\r\nTotal\t\t\t\t5\t2\t\t\t\r\n\r\n", "cp949")
+    write(d, "d.txt", "Name\t1st Dimension Time (s)\t2nd Dimension Time (s)\tArea\tHeight\tSpectra\twb1\twb2\tRetention Index\r\nunknown\t10\t1.5\t7\t3\t1:2\t1\t1\t1\r\nbad\r\n")
+    write(d, "e.own", "OWN 4 9")
+    write(d, "f.own", "OWN x")
+    write(d, "g.txt", "[Header]\n[Peak Table(Ch1)]\n")
+    kinds = formats.Formats()
+
+    def parse(raw: bytes) -> pd.DataFrame:
+        parts = raw.decode().split()
+        if len(parts) != 3:
+            raise formats.FormatFault("OWN_SHAPE")
+        return pd.DataFrame({"retention_time": [float(parts[1])], "area": [float(parts[2])]})
+
+    kinds.register("own", F.col("extension") == ".own", F.lit(0.9), parse, "retention_time double, area double")
+    out = convert.convert(spark, [d], planning.Recipe(sort="filename"), kinds)
+    files = {r["relative_path"]: (r["adapter"], r["status"]) for r in out.files.collect()}
+    assert files == {"a.csv": ("delimited", "success"), "b.txt": ("sectioned_text", "success"), "c.csv": ("signal_sections", "success"), "d.txt": ("two_dimensional_text", "failed"), "e.own": ("own", "success"), "f.own": ("own", "failed"), "g.txt": ("sectioned_text", "warning")}
+    peaks = {(r["source_file"], r["sample_id"], r["channel"], r["retention_time"], r["area"], r["compound"]) for r in out.peaks.collect()}
+    assert peaks == {("a.csv", "a", None, 1.0, 2.0, None), ("b.txt", "b", "Ch1", 1.5, 10.0, "ethanol"), ("c.csv", "c", "\uac00", 1.25, 5.0, None), ("e.own", "e", None, 4.0, 9.0, None)}
+    assert {r["file_id"] for r in out.samples.collect()} == {r["file_id"] for r in out.files.where("ok").collect()}
+    seen, issues = convert.inspect(spark, [d], planning.Recipe(adapter="delimited"))
+    assert {r["adapter"] for r in seen.collect()} == {"delimited"} and issues.where("severity = 'error'").count() > 0
+
+
 def test_preview_and_header_search(spark, folder):
     cells = scan.read_cells(spark, scan.discover(spark, [folder], extensions=["csv"]), [folder]).where("error is null")
     shown = scan.preview(cells, 1).where("row_no = 0").collect()
