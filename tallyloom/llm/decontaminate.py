@@ -162,13 +162,19 @@ def _with_spans(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: st
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark window; all columns stay."""
+    """``docs`` without the documents that hold a benchmark window; all columns stay.
+
+    Null and empty texts hold none and stay, as do repeated rows of clean documents.
+    """
     joined = _with_spans(docs, benchmark, id_col, text_col, **options)
     return joined.where("__spans is null").select(*[joined[c] for c in docs.columns])
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with the hit words cut out of each text; what stands between words stays."""
+    """``docs`` with the hit words cut out of each text; what stands between words stays.
+
+    Null texts stay null; all rows and columns stay.
+    """
     joined = _with_spans(docs, benchmark, id_col, text_col, **options)
     pieces = F.regexp_extract_all(F.col(text_col), F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+|[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"), F.lit(0))
     leads = F.when(F.col(text_col).rlike(r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"), 1).otherwise(0)

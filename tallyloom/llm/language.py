@@ -227,9 +227,14 @@ def identify_languages(
 def keep_identified(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_score: float = 0.3, **options
 ) -> DataFrame:
-    """``docs`` without the documents that are ``und`` or whose score is under ``min_score``."""
+    """``docs`` without the documents that are ``und`` or whose score is under ``min_score``.
+
+    Null texts and texts without a letter go. Where no row has a language to learn from, no language
+    can be told: then all documents with a letter stay. Repeated rows and null ids are judged like any
+    other; all columns stay; an empty table stays empty.
+    """
     model = fit_languages(_learnable(docs, id_col, text_col, lang_col, options.get("modulus", 4), options.get("held", 2)), options.get("per_language", 300))
     if not model.families:
-        return docs.limit(0)
+        return docs.where(F.coalesce(F.col(text_col), F.lit("")).rlike(r"\p{L}"))
     held = docs.withColumn("__guess", language_column(F.col(text_col), model))
     return held.where((F.col("__guess.lang") != UNKNOWN) & (F.col("__guess.score") >= min_score)).drop("__guess")

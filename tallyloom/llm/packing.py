@@ -132,7 +132,11 @@ def pack_documents(
 
 
 def sequences(docs: DataFrame, **options) -> DataFrame:
-    """The packed sequences: ``sequence_id, n_tokens, ids, doc_ids``, pieces in their order."""
+    """The packed sequences: ``sequence_id, n_tokens, ids, doc_ids``, pieces in their order.
+
+    A sequence has ``capacity`` tokens at most, so its row is bounded. Null texts, copies and empty
+    tables are as in ``pack_documents``.
+    """
     placed = pack_documents(docs, keep_ids=True, **options)
     parts = F.sort_array(F.collect_list(F.struct("offset", "ids", "doc_id")))
     grouped = placed.groupBy("sequence_id").agg(F.sum("length").alias("n_tokens"), parts.alias("parts"))

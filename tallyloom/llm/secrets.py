@@ -102,7 +102,10 @@ def secret_digest(docs: DataFrame, **options) -> DataFrame:
 
 
 def redact(docs: DataFrame, text_col: str = "text", mask: str = "[secret]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with each secret replaced by ``mask``; overlapping spans are replaced together."""
+    """``docs`` with each secret replaced by ``mask``; overlapping spans are replaced together.
+
+    Null and empty texts stay as they are; all rows and columns stay; an empty table stays empty.
+    """
     spans = docs.withColumn("__spans", secret_spans(F.col(text_col), rules))
     text = F.col(text_col)
 

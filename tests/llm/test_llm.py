@@ -12,6 +12,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tallyloom.llm import automaton, chains, components, decontaminate, language, lines, packing, quality, secrets, simhash, suffixes, toxicity
@@ -633,6 +634,9 @@ def test_language_id(spark):
     kept = language.keep_identified(frame.withColumnRenamed("lang", "tongue").withColumnRenamed("tongue", "lang"))
     assert kept.columns == frame.columns and {300, 301, 302} & {r["doc_id"] for r in kept.collect()} == set()
     assert language.identify_languages(frame.limit(0)).count() == 0
+    blank = frame.withColumn("lang", F.lit(None).cast("string"))
+    assert language.keep_identified(blank).count() == len([t for _, t, _ in rows if any(c.isalpha() for c in t or "")])
+    assert language.keep_identified(frame.limit(0)).count() == 0
 
 
 def test_toxicity(spark):
