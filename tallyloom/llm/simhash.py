@@ -188,19 +188,25 @@ def link_classes(nodes: DataFrame, max_bits: int, large_group: int = 32) -> Data
     return _link(nodes, ["fp"], variants(F.col("fp"), max_bits), like, once, lambda pairs: pairs, large_group)
 
 
-def _link(nodes: DataFrame, carried: list[str], keys: Column, like: Callable, once: Callable | None, verify: Callable[[DataFrame], DataFrame], large_group: int) -> DataFrame:
+def _link(nodes: DataFrame, carried: list[str], keys: Column, like: Callable, once: Callable | None, verify: Callable[[DataFrame], DataFrame], large_group: int, sparse: bool = False) -> DataFrame:
     """``(node, root)`` of linked nodes. ``keys`` are arrays of ``(key, role, segment)``; nodes meet at equal
     keys with role -1 or with differing roles. Pairs that are ``like`` by their ``carried`` columns,
     told ``once`` if that can be, go to ``verify``, which gets ``(a, b)`` and returns the links.
 
     In groups of ``large_group`` members or more the members of the leading class are compared with
-    the others only.
+    the others only. With ``sparse`` keys, of which few are shared, those of one node go first.
     """
     # A row makes as many variants as it has bits or more: deal the rows over all tasks first.
     tasks = max(2, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    inputs = [c for c in nodes.columns if c != "node"]
+    inputs = [c for c in nodes.columns if c != "node" and not (sparse and c == "keys")]
     dealt = nodes.repartition(tasks, "node")
-    keyed = dealt.select("node", *carried, F.inline(keys))
+    keyed = dealt.select("node", *([] if sparse else carried), F.inline(keys))
+    shared = keyed
+    if sparse:
+        some = F.hash("node")
+        twice = keyed.groupBy("key").agg(F.min(some).alias("n0"), F.max(some).alias("n1")).where("n0 <> n1").select("key")
+        shared = cut(keyed.join(cut(twice), "key", "left_semi"))
+        keyed = shared.join(nodes.select("node", *carried), "node")
     named = lambda prefix: lambda c: F.col(f"{prefix}_{c}")
 
     # Every member of a group against the group's pivot: a whole segment's pivot is any member, a
@@ -215,7 +221,7 @@ def _link(nodes: DataFrame, carried: list[str], keys: Column, like: Callable, on
     sizes = first.groupBy("root").agg(F.count("*").alias("size"))
     placed = first.join(sizes, "root")
     known = cut(nodes.join(placed, "node", "left").select("node", *inputs, F.coalesce("root", "node").alias("root"), F.coalesce("size", F.lit(1)).alias("size")))
-    keyed = known.repartition(tasks, "node").select("node", *carried, "root", "size", F.inline(keys))
+    keyed = shared.join(known, "node") if sparse else known.repartition(tasks, "node").select("node", *carried, "root", "size", F.inline(keys))
     leads = keyed.groupBy("key").agg(F.count("*").alias("members"), F.max_by("root", "size").alias("lead")).where(F.col("members") >= large_group)
     held = keyed.join(leads.select(F.col("key").alias("k"), "lead"), F.col("key") == F.col("k"), "left")
     left = held.where("lead is null or root <> lead").select(*[F.col(c).alias(f"a_{c}") for c in ("key", "node", "root", "role", "segment", *carried)], "lead")
@@ -272,13 +278,12 @@ def near_duplicates(
     the same text.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _text_key(F.col(text_col)).alias("text_key"))
-    firsts = cut(rows.groupBy("text_key").agg(F.min("doc_id").alias("doc_id")))
-    chosen = firsts.select(F.col("text_key").alias("k"), F.col("doc_id").alias("id"))
-    carriers = rows.join(chosen, (F.col("text_key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("id"))).dropDuplicates(["text_key"])
-    # Nodes are numbered by 64 bits of the key; a text without links is a class by its whole key.
-    nodes = carriers.select("text_key", "doc_id", "text", F.xxhash64("text_key").alias("node"))
     sketch = [f"s{i}" for i in range(kind.sketch)]
-    nodes = cut(nodes.withColumn("p", signature_column(F.col("text"), shingle_words, kind)).select("node", "text_key", "doc_id", "text", F.col("p.size").alias("size_of"), "p.keys", *[F.col(f"p.{c}").alias(c) for c in sketch]))
+    # Every row is signed where it stands; signatures, not texts, meet their copies.
+    prints = rows.select("text_key", "doc_id", signature_column(F.col("text"), shingle_words, kind).alias("p"))
+    prints = prints.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.first("p").alias("p"))
+    # Nodes are numbered by 64 bits of the key; a text without links is a class by its whole key.
+    nodes = cut(prints.select(F.xxhash64("text_key").alias("node"), "text_key", "doc_id", F.col("p.size").alias("size_of"), "p.keys", *[F.col(f"p.{c}").alias(c) for c in sketch]))
 
     def like(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
         apart = sum((F.bit_count(a(c).bitwiseXOR(b(c))) for c in sketch[1:]), F.bit_count(a(sketch[0]).bitwiseXOR(b(sketch[0]))))
@@ -287,13 +292,16 @@ def near_duplicates(
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs)
         involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        texts = cut(nodes.select("node", "text").join(involved, "node"))
+        chosen = nodes.join(involved, "node").select("node", F.col("text_key").alias("k"), F.col("doc_id").alias("id"))
+        # One carrier of each text: a row with the smallest id; its copies fold into it.
+        texts = rows.join(chosen, (F.col("text_key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text")
+        texts = cut(texts.dropDuplicates(["node"]))
         a, b = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
         scored = pairs.join(a, "a").join(b, "b")
         return scored.where(jaccard_column(F.col("text_a"), F.col("text_b"), shingle_words) >= min_similarity).select("a", "b")
 
     keys = F.transform("keys", lambda k: F.struct(k.alias("key"), F.lit(-1).cast("byte").alias("role"), F.lit(0).cast("byte").alias("segment")))
-    roots = _link(nodes.select("node", "size_of", "keys", *sketch), ["size_of", *sketch], keys, like, None, verify, large_group)
+    roots = _link(nodes.select("node", "size_of", "keys", *sketch), ["size_of", *sketch], keys, like, None, verify, large_group, sparse=True)
     classes = nodes.select("node", "text_key", "doc_id").join(roots, "node", "left").select("text_key", "doc_id", F.coalesce(F.col("root").cast("string"), "text_key").alias("root"))
     # Ties on the id (null or repeated ids) fall to the smaller key; a null id loses to any other.
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_key"))
