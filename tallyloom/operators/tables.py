@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from tallyloom.functions import text as T
 from tallyloom.operators.order import first_seen, global_rank, occurrence_number
 
+#: Columns of the peaks table, in order (fixed values).
 PEAK_COLUMNS = (
     "sample_id", "source_file", "channel", "detector", "peak_number", "retention_time", "retention_time_unit", "area", "height",
     "compound", "compound_source", "status", "manufacturer", "observation_order", "start_time", "end_time", "area_unit", "height_unit",

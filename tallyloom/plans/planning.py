@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators.mapping import fingerprint
 
+#: Most files and bytes of one plan (fixed values).
 MAX_PLAN_FILES = 10_000
 MAX_PLAN_BYTES = 64 << 30
 
@@ -26,6 +27,12 @@ def plan_entries(files: DataFrame, routes: DataFrame) -> DataFrame:
     return joined.select("file_id", "relative_path", "size", "sha256", status.alias("status"), problem.alias("problem"), "adapter")
 
 
+def plan_limit(files: DataFrame, most_files: int = MAX_PLAN_FILES, most_bytes: int = MAX_PLAN_BYTES) -> str | None:
+    """The code of the first limit that a plan's files break, or None."""
+    seen = files.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
+    return "PLAN_FILE_LIMIT_EXCEEDED" if seen["n"] > most_files else "PLAN_SIZE_LIMIT_EXCEEDED" if seen["size"] > most_bytes else None
+
+
 def summarise_plan(entries: DataFrame) -> DataFrame:
     """One row of counters with the plan's readiness."""
     n = lambda s: F.count_if(F.col("status") == s)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyloom.operators import summary
+from tallyloom.plans import planning
 
 
 def test_result_summary_counts_converted_files_only(spark):
@@ -35,3 +36,9 @@ def test_cell_text(spark):
     frame = spark.sql("SELECT timestamp '2026-01-02 03:04:05' AS a, timestamp '1969-12-31 23:59:59.25' AS b, true AS c, 12345678901234567890123456789012345678BD AS d, CAST(NULL AS boolean) AS e")
     shown = frame.select(*[summary.cell_text(F.col(n), k) for n, k in zip("abcde", ("timestamp", "timestamp", "boolean", "decimal", "boolean"), strict=True)]).first()
     assert tuple(shown) == ("2026-01-02T03:04:05+00:00", "1969-12-31T23:59:59.250000+00:00", "True", "12345678901234567890123456789012345678", None)
+
+
+def test_plan_limits(spark):
+    files = spark.createDataFrame([(1, 5), (2, None), (3, 7)], "file_id long, size long")
+    assert [planning.plan_limit(files, *limits) for limits in ((3, 12), (2, 12), (3, 11))] == [None, "PLAN_FILE_LIMIT_EXCEEDED", "PLAN_SIZE_LIMIT_EXCEEDED"]
+    assert planning.plan_limit(files.limit(0)) is None
