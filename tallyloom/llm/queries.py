@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chains, decontaminate, language, lines, packing, quality, secrets, simhash, suffixes, toxicity
+from . import chains, decontaminate, language, lines, packing, phrases, quality, secrets, simhash, suffixes, tokenfiles, toxicity, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,9 +52,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.token_file_digest(_table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_rows(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op2_suffix_dedup, op3_best_fit_packing, op4_quality_rules, op5_simhash_near_dedup, op6_decontamination, op7_secret_scan, op8_language_id, op9_substring_chaining, op10_toxicity)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_suffix_dedup, op3_best_fit_packing, op4_quality_rules, op5_simhash_near_dedup, op6_decontamination, op7_secret_scan, op8_language_id, op9_substring_chaining, op10_toxicity, op11_token_files, op12_embedding_whitening, op13_phrase_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": lines.ORACLE_SQL, "op4_quality_rules": quality.ORACLE_SQL, "op6_decontamination": decontaminate.ORACLE_SQL}
+    return {"op1_line_dedup": lines.ORACLE_SQL, "op4_quality_rules": quality.ORACLE_SQL, "op6_decontamination": decontaminate.ORACLE_SQL, "op13_phrase_collocations": phrases.ORACLE_SQL}
