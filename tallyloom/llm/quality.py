@@ -3,8 +3,8 @@
 DataFrame functions only. Features come from one pass over whole texts; only their figures are
 written and aggregated by host, so a host with a third of all rows costs no more than others. Each
 rule has its own prior, fitted to the hosts' counts with the noise of small hosts taken out. A host
-whose documents mostly fail goes as a whole; a host that fails a rule more than the prior has it
-loses those documents that fail it, where other hosts keep theirs.
+whose documents mostly fail goes as a whole; a host that surely fails a rule far more often than
+hosts do loses those documents that fail it, where other hosts keep theirs.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from .common import SPACE, cut, let, spread, words_column
 
 SYMBOLS = "#*$%&|<>"
+#: The strength of a prior whose hosts don't differ beyond the noise of their numbers.
+NO_SPREAD = 1000.0
 
 
 def repeated_words(words: Column, width: int = 3) -> Column:
@@ -66,7 +68,7 @@ def rule_failures() -> dict[str, Column]:
     }
 
 
-def beta_prior(hosts: DataFrame, failed: list[str], strength: tuple[float, float] = (2.0, 1000.0)) -> dict[str, tuple[float, float]]:
+def beta_prior(hosts: DataFrame, failed: list[str], strength: tuple[float, float] = (2.0, NO_SPREAD)) -> dict[str, tuple[float, float]]:
     """``(mean, strength)`` of a beta prior for each column of failure counts in ``hosts``.
 
     By moments of the beta-binomial: the hosts' rates vary by the prior's spread and by the noise of
@@ -89,13 +91,15 @@ def beta_prior(hosts: DataFrame, failed: list[str], strength: tuple[float, float
     return out
 
 
-def host_verdicts(flagged: DataFrame, max_rate: float = 0.5, margin: float = 0.25) -> DataFrame:
+def host_verdicts(flagged: DataFrame, max_rate: float = 0.5, ratio: float = 1.5, sureness: float = 1.645) -> DataFrame:
     """``host_key, n_docs, rate, host_kept, strict_<rule>...`` from rows with ``host_key`` and flags.
 
     A host's rates are posterior means, so a host with few documents stays near the prior. It is
-    kept as a whole while at most ``max_rate`` of its documents fail any rule, and strict in a rule
-    where its rate is over the prior's mean by more than ``margin`` of the prior's standard
-    deviation, which takes both a higher rate and enough documents.
+    kept as a whole while at most ``max_rate`` of its documents fail any rule. It is strict in a rule
+    where hosts differ beyond the noise of their numbers at all, and where its rate is over ``ratio`` times the
+    prior's mean with 95 percent of its posterior: by ``sureness`` posterior standard deviations, as the normal law
+    has it (for rates below a half that asks for more than the beta law does). Null flags count as no failure; an
+    empty table has no hosts.
     """
     failed = [c for c in flagged.columns if c.startswith("failed_")]
     hosts = cut(flagged.groupBy("host_key").agg(F.count("*").alias("n_docs"), *[F.sum(F.col(c).cast("long")).alias(c) for c in failed]))
@@ -105,16 +109,17 @@ def host_verdicts(flagged: DataFrame, max_rate: float = 0.5, margin: float = 0.2
         m, s = prior[c]
         return (F.col(c) + F.lit(m * s)) / (F.col("n_docs") + F.lit(s))
 
-    def bound(c: str) -> float:
+    def surely_over(c: str) -> Column:
         m, s = prior[c]
-        return m + margin * (m * (1 - m) / (s + 1)) ** 0.5
+        low = rate(c) - F.lit(sureness) * F.sqrt(rate(c) * (1 - rate(c)) / (F.col("n_docs") + F.lit(s + 1)))
+        return F.lit(s < NO_SPREAD) & (low > F.lit(ratio * m))
 
-    strict = [(rate(c) > bound(c)).alias(c.replace("failed_", "strict_", 1)) for c in failed if c != "failed_any"]
+    strict = [surely_over(c).alias(c.replace("failed_", "strict_", 1)) for c in failed if c != "failed_any"]
     return hosts.select("host_key", "n_docs", rate("failed_any").alias("rate"), (rate("failed_any") <= max_rate).alias("host_kept"), *strict)
 
 
 def quality_verdicts(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = 0.5, margin: float = 0.25, max_broadcast_bytes: int = 64_000_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = 0.5, ratio: float = 1.5, sureness: float = 1.645, max_broadcast_bytes: int = 64_000_000
 ) -> DataFrame:
     """Features, ``base_failed``, the host's shrunk failure rate and ``kept`` for each document.
 
@@ -130,7 +135,7 @@ def quality_verdicts(
     flagged = flagged.withColumn("host_key", F.coalesce(F.concat(F.lit("h"), F.col("host").cast("string")), F.lit("null")))
     flagged = flagged.select("*", *[c.alias(f"failed_{k}") for k, c in rules.items()])
     flagged = cut(flagged.withColumn("failed_any", F.expr(" or ".join(f"failed_{k}" for k in rules))))
-    verdicts = host_verdicts(flagged, max_rate, margin)
+    verdicts = host_verdicts(flagged, max_rate, ratio, sureness)
     size = verdicts.agg(F.sum(F.octet_length("host_key") + 64)).first()[0] or 0
     if size <= max_broadcast_bytes:
         joined = flagged.join(F.broadcast(verdicts), "host_key")
@@ -165,10 +170,10 @@ v AS (
   SELECT rule, m, CASE WHEN m * (1 - m) > 0 AND n - nn / n - (k - 1) > 0 THEN round(((xx - m * m * n) / (m * (1 - m)) - (k - 1)) / (n - nn / n - (k - 1)), 6) ELSE 0 END AS rho FROM m),
 p AS (SELECT rule, m, CASE WHEN rho > 0 THEN least(greatest(1 / rho - 1, 2.0), 1000.0) ELSE 1000.0 END AS s FROM v),
 w AS (
-  SELECT h.source, h.rule, (h.x + p.m * p.s) / (h.n + p.s) AS rate, p.m + 0.25 * sqrt(p.m * (1 - p.m) / (p.s + 1)) AS bound FROM h JOIN p ON h.rule = p.rule),
+  SELECT h.source, h.rule, (h.x + p.m * p.s) / (h.n + p.s) AS rate, h.n, p.m, p.s FROM h JOIN p ON h.rule = p.rule),
+u AS (SELECT *, s < 1000.0 AND rate - 1.645 * sqrt(rate * (1 - rate) / (n + (s + 1))) > 1.5 * m AS strict FROM w),
 z AS (
-  SELECT source, bool_or(rule = 0 AND rate > 0.5) AS gone, bool_or(rule = 1 AND rate > bound) AS s1, bool_or(rule = 2 AND rate > bound) AS s2,
-    bool_or(rule = 3 AND rate > bound) AS s3, bool_or(rule = 4 AND rate > bound) AS s4 FROM w GROUP BY source)
+  SELECT source, bool_or(rule = 0 AND rate > 0.5) AS gone, bool_or(rule = 3 AND strict) AS s3, bool_or(rule = 4 AND strict) AS s4 FROM u GROUP BY source)
 SELECT g.doc_id, g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words, (f1 OR f2) AS base_failed,
   NOT (f1 OR f2 OR z.gone OR (f3 AND z.s3) OR (f4 AND z.s4)) AS kept
 FROM g JOIN z ON g.source IS NOT DISTINCT FROM z.source

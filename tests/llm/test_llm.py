@@ -436,6 +436,22 @@ def test_quality_host_verdicts_move_documents(spark, max_broadcast_bytes):
     assert {1, 2000, 9001} - dropped == {2000, 9001} | ({1} - dropped)
 
 
+def test_quality_hosts_are_strict_by_evidence_alone(spark):
+    """Random hosts give no strict one in 20 seeds; two bad hosts of twenty are found."""
+    frame = lambda rows: spark.createDataFrame(rows, "host_key string, failed_x boolean, failed_any boolean")
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        n = (50, 100, 400)[seed % 3]
+        flags = rng.random((20, n)) < rng.choice([0.02, 0.07, 0.3])
+        out = quality.host_verdicts(frame([(f"h{k}", bool(f), bool(f)) for k in range(20) for f in flags[k]]))
+        assert out.where("strict_x").count() == 0, seed
+    rng = np.random.default_rng(99)
+    flags = rng.random((20, 100)) < np.array([0.35, 0.4, *[0.05] * 18])[:, None]
+    out = quality.host_verdicts(frame([(f"h{k}", bool(f), bool(f)) for k in range(20) for f in flags[k]]))
+    assert {r["host_key"] for r in out.where("strict_x").collect()} == {"h0", "h1"}
+    assert quality.host_verdicts(frame([])).count() == 0
+
+
 # -- op5 ----------------------------------------------------------------------------------------
 
 
