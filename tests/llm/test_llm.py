@@ -297,6 +297,58 @@ def test_chains_find_both_passages_of_a_pair(spark):
     assert sorted((r["start"], r["end"]) for r in got) == [(10, 110), (310, 410)]
 
 
+def test_revisions_push_out_no_passage(spark):
+    """Two texts share a quote of 60 words, and each has eight revisions without it: ten cases, all told."""
+    rows, quotes = [], {}
+    for seed in range(10):
+        rng = random.Random(500 + seed)
+        own = lambda n, tag: [f"{tag}{rng.randrange(10**6)}" for _ in range(n)]  # noqa: E731, B023
+        quote = own(60, f"q{seed}x")
+        for side in (0, 1):
+            base = own(400, f"s{seed}{side}y")
+            at = 200 if side == 0 else rng.randrange(100, 300)
+            key = seed * 100 + side * 50
+            rows.append((key, " ".join(base[:at] + quote + base[at:])))
+            quotes[key] = (at, at + 60)
+            for k in range(8):
+                revision = list(base)
+                for _ in range(rng.randrange(1, 8)):
+                    revision[rng.randrange(400)] = f"e{rng.randrange(10**6)}"
+                rows.append((key + 1 + k, " ".join(revision)))
+    out = chains.fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for key, (low, high) in quotes.items():
+        other = key + 50 if key % 100 == 0 else key - 50
+        told = [r for r in out if r["doc_id"] == key and r["other_doc_id"] == other and r["start"] <= low and r["end"] >= high]
+        assert told, key
+
+
+def test_passages_cover_what_all_pairs_tell(spark):
+    """Near copies with foreign passages: the words told are those of a search over all pairs, but for a few."""
+    rng = random.Random(77)
+    words = [f"v{i}" for i in range(4000)]
+    bases = [[rng.choice(words) for _ in range(rng.randrange(120, 400))] for _ in range(6)]
+    passages = [[rng.choice(words) for _ in range(rng.randrange(55, 90))] for _ in range(5)]
+    rows = []
+    for i in range(48):
+        text = [w if rng.random() > 0.04 else rng.choice(words) for w in bases[i % 6]]
+        if i % 3:
+            at = rng.randrange(len(text))
+            text[at:at] = [w if rng.random() > 0.06 else rng.choice(words) for w in passages[i % 5]]
+        rows.append((i, " ".join(text)))
+    hashed = [(chains.word_hashes(t.encode()) >> np.uint64(48)) for _, t in rows]
+    want = {}
+    for i in range(len(rows)):
+        for j in range(i + 1, len(rows)):
+            for x0, x1, y0, y1, _ in chains.pair_passages(hashed[i], hashed[j], 4, 50, 0.8):
+                want.setdefault(i, set()).update(range(x0, x1))
+                want.setdefault(j, set()).update(range(y0, y1))
+    got = {}
+    for r in chains.fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r["doc_id"], set()).update(range(r["start"], r["end"]))
+    total = sum(map(len, want.values()))
+    assert total > 5000 and sum(len(want[i] & got.get(i, set())) for i in want) >= 0.95 * total
+
+
 def test_chains_lose_no_document_whose_seeds_are_frequent(spark):
     """Two texts share a passage; every seed of it also stands in short fragments elsewhere."""
     rng = random.Random(77)
