@@ -86,16 +86,33 @@ def exact_float(lexeme: Column) -> Column:
     return F.when(found["odd"].isNull(), quick).otherwise(slow(found["odd"]))
 
 
-def bounded_integer(lexeme: Column) -> Column:
-    """``value, code``: an integer from forms such as 3, 3.0 or 3e2, as decimal(38,0).
+def integer_key(whole: Column) -> Column:
+    """A text that sorts as the integer does, for plain digits with or without a minus: sign, number of
+    digits, digits; for negative ones the latter two complemented."""
+    digits = F.ltrim(F.translate(whole, "-", ""), F.lit("0"))
+    body = F.when(digits == "", "0").otherwise(digits)
+    up = F.concat(F.lit("1"), F.lpad(F.length(body).cast("string"), 4, "0"), body)
+    down = F.concat(F.lit("0"), F.lpad((9999 - F.length(body)).cast("string"), 4, "0"), F.translate(body, "0123456789", "9876543210"))
+    return F.when(whole.startswith("-") & (body != "0"), down).otherwise(up)
+
+
+def whole_integer(lexeme: Column) -> Column:
+    """``whole, key, value, code``: an integer of up to a thousand digits from forms such as 3, 3.0 or 3e2.
 
-    Integers beyond 38 digits and up to a thousand stay lexemes with ``INTEGER_BEYOND_DECIMAL``.
+    ``whole`` has its plain digits, ``key`` sorts and compares as the integer, and ``value`` is it as decimal(38,0)
+    where it has 38 digits or less. No integer within the limits gets a code.
     """
+    read = F.transform(F.array(_integer_parts(lexeme)), _read_integer)[0]
+    made = F.transform(F.array(read), lambda p: F.struct(p["whole"].alias("whole"), F.when(p["whole"].isNotNull(), integer_key(p["whole"])).alias("key"), p["whole"].try_cast("decimal(38,0)").alias("value"), p["code"].alias("code")))
+    return made[0]
+
+
+def _integer_parts(lexeme: Column) -> Column:
     bare = stripped(lexeme)
     text = F.when(bare.contains("_"), F.regexp_replace(bare, "(?<=[0-9])_(?=[0-9])", "")).otherwise(bare)
     mantissa = _mantissa(text)
     fraction = F.when(mantissa.contains("."), F.substring_index(mantissa, ".", -1)).otherwise("")
-    parts = F.struct(
+    return F.struct(
         F.when(text != "", text).alias("text"),
         is_number_text(text).alias("number"),
         F.when(mantissa.startswith("-"), "-").otherwise("").alias("sign"),
@@ -104,25 +121,35 @@ def bounded_integer(lexeme: Column) -> Column:
         (F.length(lexeme) > MAX_INTEGER_LEXEME).alias("long"),
     )
 
-    def read(p: Column) -> Column:
-        digits, exponent = p["digits"], p["exponent"]
-        zero = digits == ""
-        too_big = (F.abs(exponent) > MAX_DIGITS) | (~zero & (F.length(digits) - 1 + exponent >= MAX_DIGITS))
-        trailing = F.length(digits) - F.length(F.rtrim(digits, F.lit("0")))
-        is_whole = zero | (exponent >= 0) | (trailing >= -exponent)
-        special = ~p["number"] & p["text"].rlike(r"^(?i)[+\-]?(nan|snan|inf|infinity)[0-9]*$")
-        code = (
-            F.when(p["text"].isNull(), None)
-            .when(p["long"], "INTEGER_LIMIT_EXCEEDED")
-            .when(special, "NONFINITE_NUMBER")
-            .when(~p["number"], "INVALID_NUMBER")
-            .when(too_big, "INTEGER_LIMIT_EXCEEDED")
-            .when(~is_whole, "INVALID_INTEGER")
-        )
-        zeros = F.repeat(F.lit("0"), F.greatest(exponent, F.lit(0)))
-        shifted = F.when(exponent >= 0, F.concat(digits, zeros)).otherwise(F.substring(digits, 1, F.greatest(F.length(digits) + exponent, F.lit(0))))
-        value = F.when(code.isNull() & p["text"].isNotNull(), F.when(zero, "0").otherwise(F.concat(p["sign"], shifted)))
-        return F.struct(value.alias("whole"), code.alias("code"))
+
+def _read_integer(p: Column) -> Column:
+    """``whole, code`` of an integer's parts."""
+    digits, exponent = p["digits"], p["exponent"]
+    zero = digits == ""
+    too_big = (F.abs(exponent) > MAX_DIGITS) | (~zero & (F.length(digits) - 1 + exponent >= MAX_DIGITS))
+    trailing = F.length(digits) - F.length(F.rtrim(digits, F.lit("0")))
+    is_whole = zero | (exponent >= 0) | (trailing >= -exponent)
+    special = ~p["number"] & p["text"].rlike(r"^(?i)[+\-]?(nan|snan|inf|infinity)[0-9]*$")
+    code = (
+        F.when(p["text"].isNull(), None)
+        .when(p["long"], "INTEGER_LIMIT_EXCEEDED")
+        .when(special, "NONFINITE_NUMBER")
+        .when(~p["number"], "INVALID_NUMBER")
+        .when(too_big, "INTEGER_LIMIT_EXCEEDED")
+        .when(~is_whole, "INVALID_INTEGER")
+    )
+    zeros = F.repeat(F.lit("0"), F.greatest(exponent, F.lit(0)))
+    shifted = F.when(exponent >= 0, F.concat(digits, zeros)).otherwise(F.substring(digits, 1, F.greatest(F.length(digits) + exponent, F.lit(0))))
+    value = F.when(code.isNull() & p["text"].isNotNull(), F.when(zero, "0").otherwise(F.concat(p["sign"], shifted)))
+    return F.struct(value.alias("whole"), code.alias("code"))
+
+
+def bounded_integer(lexeme: Column) -> Column:
+    """``value, code``: an integer from forms such as 3, 3.0 or 3e2, as decimal(38,0).
+
+    Integers beyond 38 digits and up to a thousand have no such value and ``INTEGER_BEYOND_DECIMAL``;
+    ``whole_integer`` has them exactly, in order.
+    """
 
     def typed(p: Column) -> Column:
         value = p["whole"].try_cast("decimal(38,0)")
@@ -130,7 +157,7 @@ def bounded_integer(lexeme: Column) -> Column:
 
     # Most integers are plain digits: one look and a cast.
     plain = F.struct(lexeme.try_cast("decimal(38,0)").alias("value"), F.lit(None).cast("string").alias("code"))
-    return F.when(lexeme.rlike("^-?[0-9]{1,18}$"), plain).otherwise(F.transform(F.transform(F.array(parts), read), typed)[0])
+    return F.when(lexeme.rlike("^-?[0-9]{1,18}$"), plain).otherwise(F.transform(F.transform(F.array(_integer_parts(lexeme)), _read_integer), typed)[0])
 
 
 _DATE = r"[0-9]{4}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])"

@@ -30,18 +30,23 @@ def drift_diagnostics(structures: DataFrame, profiles: DataFrame, roles: DataFra
 
     Columns: expected and observed counts, exact position matches, changed, added, removed and moved
     columns, their total, the lost required and optional roles, and the categories in order.
-    ``roles`` has ``profile_id, position, role``; ``IGNORED`` columns have no role. Files share few
+    ``roles`` has ``profile_id, position, role``; ``IGNORED`` columns have no role. Where both tables have a
+    ``worksheet_title``, a profile with one differs from workbooks whose read sheet has another (or none). Files share few
     header lists: each distinct one is compared once, in place on its short arrays, and joined back.
     """
-    kinds = structures.select("source_format", "headers").distinct().withColumn("file_id", F.xxhash64("source_format", "headers"))
+    parts = ["source_format", "headers"]
+    if "worksheet_title" in structures.columns and "worksheet_title" in profiles.columns:
+        parts.append("worksheet_title")
+    kinds = structures.select(*parts).distinct().withColumn("file_id", F.xxhash64(*parts))
     found = _diagnose(kinds, profiles, roles).withColumnRenamed("file_id", "kind")
-    held = structures.withColumn("kind", F.xxhash64("source_format", "headers")).select("file_id", "kind")
+    held = structures.withColumn("kind", F.xxhash64(*parts)).select("file_id", "kind")
     return held.join(found, "kind").drop("kind")
 
 
 def _diagnose(structures: DataFrame, profiles: DataFrame, roles: DataFrame | None) -> DataFrame:
     """The diagnostics of each row of ``structures`` by itself."""
-    p = profiles.select("profile_id", F.col("source_format").alias("f"), F.col("headers").alias("expected"))
+    sheets = "worksheet_title" in structures.columns
+    p = profiles.select("profile_id", F.col("source_format").alias("f"), F.col("headers").alias("expected"), *([F.col("worksheet_title").alias("wanted_title")] if sheets else []))
     if roles is not None:
         held = roles.where("role <> 'IGNORED'").groupBy("profile_id").agg(F.sort_array(F.collect_list(F.struct("position", "role"))).alias("roles"))
         p = p.join(held, "profile_id", "left")
@@ -69,12 +74,13 @@ def _diagnose(structures: DataFrame, profiles: DataFrame, roles: DataFrame | Non
     labels = F.array_distinct(F.concat("expected", "headers"))
     count = lambda of, label: F.size(F.filter(of, lambda x: x == label))
     doubled = F.exists(labels, lambda x: (count(F.col("expected"), x) != count(F.col("headers"), x)) & (F.greatest(count(F.col("expected"), x), count(F.col("headers"), x)) > 1))
+    j = j.withColumn("other_sheet", ((F.col("f") == "xlsx") & F.col("wanted_title").isNotNull() & ~F.col("wanted_title").eqNullSafe(F.col("worksheet_title"))) if sheets else F.lit(False))
     flags = {
         "column_added": F.col("n_added") > 0, "column_removed": F.col("n_removed") > 0, "column_reordered": F.col("moved") > 0,
         "header_changed_unresolved": F.col("n_changed") > 0, "duplicate_header_changed": doubled,
         "required_mapping_column_missing": F.size(F.filter("missing", needed)) > 0,
         "optional_mapping_column_missing": F.size(F.filter("missing", lambda r: ~needed(r))) > 0,
-        "worksheet_identity_changed_unresolved": F.lit(False),
+        "worksheet_identity_changed_unresolved": F.col("other_sheet"),
     }
     found = F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in flags.items()]), lambda c: c.isNotNull())
     odd = (F.size("common_e") == 0) & (F.size("expected") != F.size("headers"))
@@ -83,7 +89,7 @@ def _diagnose(structures: DataFrame, profiles: DataFrame, roles: DataFrame | Non
     return j.select(
         "file_id", "profile_id", F.size("expected").alias("expected_columns"), F.size("headers").alias("observed_columns"), F.col("exact").alias("exact_positions"),
         F.col("n_changed").alias("changed"), F.col("n_added").alias("added"), F.col("n_removed").alias("removed"), "moved",
-        (F.col("n_changed") + F.col("n_added") + F.col("n_removed") + F.col("moved")).alias("differences"),
+        (F.col("n_changed") + F.col("n_added") + F.col("n_removed") + F.col("moved") + F.col("other_sheet").cast("int")).alias("differences"),
         names(F.filter("lost", needed)).alias("lost_required"), names(F.filter("lost", lambda r: ~needed(r))).alias("lost_optional"), F.concat("found", last).alias("categories"),
     )
 

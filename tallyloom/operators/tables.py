@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyloom.functions import text as T
+from tallyloom.operators import merkle
+from tallyloom.operators.joins import BROADCAST_ROWS, keyed_join
 from tallyloom.operators.order import first_seen, global_rank, occurrence_number
 
 #: Columns of the peaks table, in order (fixed values).
@@ -48,11 +50,12 @@ def peaks_table(peaks: DataFrame, files: DataFrame, samples: DataFrame, secondar
     return held.select(*PEAK_COLUMNS, *(SECONDARY_COLUMNS if secondary else ()))
 
 
-def compound_matrix_long(peaks: DataFrame, place: list[str]) -> DataFrame:
+def compound_matrix_long(peaks: DataFrame, place: list[str], broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``file_id, sample_id, column_name, ordinal, occurrence, area``: one row for each named peak.
 
     Equal compounds of a file are never summed: the k-th has a column of its own. Column names that
-    are equal without case are told apart by ``__identity_N``, in first-seen order.
+    are equal without case are told apart by ``__identity_N``, in first-seen order. Few identities are
+    broadcast; of many, those that are on very many peaks are salted, so none of them fills a task.
     """
     named = occurrence_number(peaks.where("compound <> ''"), place)
     identity = ["compound", "detector", "channel"]
@@ -61,10 +64,9 @@ def compound_matrix_long(peaks: DataFrame, place: list[str]) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy(F.lower("base")).orderBy("ordinal"))
     seen = seen.withColumn("base", base).withColumn("nth", nth)
     seen = seen.withColumn("base", F.when(F.col("nth") > 1, F.concat("base", F.lit("__identity_"), F.col("nth"))).otherwise(F.col("base")))
-    same = reduce(lambda a, b: a & b, [named[c].eqNullSafe(seen[c]) for c in identity])
-    joined = named.join(seen, same)
-    name = F.when(named["occurrence"] > 1, F.concat(seen["base"], F.lit("_"), named["occurrence"])).otherwise(seen["base"])
-    return joined.select(named["file_id"], named["sample_id"], name.alias("column_name"), seen["ordinal"], named["occurrence"], named["area"])
+    joined = keyed_join(named.select("file_id", "sample_id", *identity, "occurrence", "area"), seen.select(*identity, "base", "ordinal"), identity, broadcast_rows)
+    name = F.when(F.col("occurrence") > 1, F.concat("base", F.lit("_"), "occurrence")).otherwise(F.col("base"))
+    return joined.select("file_id", "sample_id", name.alias("column_name"), "ordinal", "occurrence", "area")
 
 
 def compound_matrix_wide(long: DataFrame, files: DataFrame, columns: list[str]) -> DataFrame:
@@ -209,14 +211,14 @@ def part_digests(spark, path: str) -> DataFrame:
     return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
-def file_set_digest(files: DataFrame) -> DataFrame:
-    """One digest of a set of files ``(relative_path, size, sha256)``, whatever their order.
+def file_set_digest(files: DataFrame, range_rows: int = merkle.RANGE_ROWS) -> DataFrame:
+    """``digest, n_files``: one digest of a set of files ``(relative_path, size, sha256)``, whatever their order.
 
-    Files are hashed in blocks by a hash of their path, and the blocks' digests in block order.
+    The root of a digest tree over ranges of hashed paths; a file's line is its path, size and hash between tabs.
     """
     line = F.concat_ws("\t", "relative_path", F.col("size").cast("string"), "sha256")
-    blocks = files.groupBy(F.pmod(F.xxhash64("relative_path"), F.lit(256)).alias("block")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\n"), 256).alias("d"))
-    return blocks.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "d"))), lambda x: x["d"]), "\n"), 256).alias("digest"), F.count("*").alias("blocks"))
+    nodes = merkle.tree(files, F.col("relative_path"), F.sha2(line, 256), None, range_rows)
+    return nodes.where("level = 0").select("digest", F.col("n_rows").alias("n_files"))
 
 
 def ordered_digest(rows: DataFrame, keys: list[str], text: Column, block: int = 1000) -> DataFrame:

@@ -54,7 +54,7 @@ def convert(spark: SparkSession, paths: list[str], recipe: Recipe | None = None,
     other table.
     """
     recipe = recipe or Recipe()
-    sources = scan.with_hash(scan.discover(spark, paths, recipe.recursive, list(recipe.extensions) or None))
+    sources = scan.with_hash(scan.discover(spark, paths, recipe.recursive, list(recipe.extensions) or None), paths, recipe.recursive)
     sources = cut(scan.mark_duplicates(scan.distinct_paths(sources), "path"))
     fresh = sources.where("duplicate_of is null")
     routes = routing.routed(spark, fresh, paths, recipe.recursive, formats, recipe.adapter)

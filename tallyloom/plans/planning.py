@@ -7,6 +7,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.operators import merkle
 from tallyloom.operators.mapping import fingerprint
 
 #: Most files and bytes of one plan (fixed values).
@@ -46,18 +47,14 @@ def summarise_plan(entries: DataFrame) -> DataFrame:
 
 def plan_digest(entries: DataFrame, options: dict) -> str:
     """A digest of a plan: order-free over its entries, and its options."""
-    row = F.sha2(F.to_json(F.struct(*sorted(entries.columns))), 256)
-    parts = entries.groupBy(F.substring(row, 1, 2).alias("b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(row)), ""), 256).alias("d")).collect()
-    return fingerprint({"entries": sorted((r["b"], r["d"]) for r in parts), "options": options}, "tallyloom-plan-1")
-
-
-def plan_changes(reviewed: DataFrame, rebuilt: DataFrame) -> DataFrame:
-    """``file_id, change``: entries that were added, removed or changed since a plan was reviewed."""
-    columns = [c for c in reviewed.columns if c != "file_id"]
-    a = reviewed.select("file_id", F.struct(*columns).alias("a"))
-    b = rebuilt.select("file_id", F.struct(*columns).alias("b"))
-    change = F.when(F.col("b").isNull(), "removed").when(F.col("a").isNull(), "added").otherwise("changed")
-    return a.join(b, "file_id", "full").where(~F.col("a").eqNullSafe(F.col("b"))).select("file_id", change.alias("change"), "a", "b")
+    nodes = merkle.tree(entries, F.col("file_id").cast("string"), merkle.row_digest(sorted(entries.columns)))
+    return fingerprint({"entries": merkle.root(nodes), "options": options}, "tallyloom-plan-2")
+
+
+def plan_changes(reviewed: DataFrame, rebuilt: DataFrame, range_rows: int = merkle.RANGE_ROWS) -> DataFrame:
+    """``file_id, change, a, b``: entries that were added, removed or changed since a plan was reviewed. Digest
+    trees tell which ranges of entries differ, and only those are compared."""
+    return merkle.changes(reviewed, rebuilt, "file_id", [c for c in reviewed.columns if c != "file_id"], range_rows)
 
 
 @dataclass(frozen=True)

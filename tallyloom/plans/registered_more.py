@@ -222,8 +222,3 @@ def header_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
     headers = line.select(F.col("l_orderkey").alias("file_id"), (F.col("l_linenumber") % 3).alias("label"), place.alias("position"))
     return O.header_tokens(headers, ["file_id"]).groupBy("label", "k").agg(F.count("*").alias("n"))
-
-
-@query()
-def file_set_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.file_set_digest(A.document_files(spark, sf_dir))

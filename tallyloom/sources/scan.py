@@ -13,11 +13,11 @@ from pyspark.sql.window import Window
 
 from tallyloom.functions import text as T
 from tallyloom.operators.order import global_rank
+from tallyloom.sources.delimited import DELIMITERS, readable_directly, stream_cells, stream_digests
 
 #: Input sizes (fixed values): from the first on a warning, over the second an error.
 WARN_BYTES, MOST_BYTES = 256 << 20, 2 << 30
 MOST_TABLE_BYTES = 512 << 20
-DELIMITERS = {".csv": ",", ".tsv": "\t", ".txt": ";"}
 
 
 def discover(spark: SparkSession, paths: list[str], recursive: bool = False, extensions: list[str] | None = None) -> DataFrame:
@@ -40,14 +40,17 @@ def discover(spark: SparkSession, paths: list[str], recursive: bool = False, ext
     return ranked.withColumn("input_order", F.col("n") - 1).withColumn("file_id", F.col("n")).drop("n")
 
 
-def with_hash(sources: DataFrame) -> DataFrame:
-    """``sources`` with ``sha256`` of the content of files within the size limit.
+def with_hash(sources: DataFrame, paths: list[str] | None = None, recursive: bool = False) -> DataFrame:
+    """``sources`` with ``sha256`` of the content of files within the size limit, scanned from the same
+    ``paths`` as the listing; without them the executors open the files themselves.
 
-    The limit is a filter on the scan, so an oversize file is never loaded.
+    The limit is a filter on the scan, so an oversize file is never loaded. Digests are made in the
+    scan: what meets the sources is a path and a digest.
     """
-    spark = sources.sparkSession
-    paths = [r["path"] for r in sources.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("path")).distinct().collect()]
-    content = spark.read.format("binaryFile").load(paths).where(F.col("length") <= MOST_BYTES)
+    if paths is None:
+        hashed = stream_digests(sources.where(F.col("size") <= MOST_BYTES))
+        return sources.join(hashed, "path", "left")
+    content = sources.sparkSession.read.format("binaryFile").option("recursiveFileLookup", recursive).load(paths).where(F.col("length") <= MOST_BYTES)
     hashed = content.select("path", F.sha2("content", 256).alias("sha256")).dropDuplicates(["path"])
     return sources.join(hashed, "path", "left")
 
@@ -114,10 +117,15 @@ def read_cells(spark: SparkSession, sources: DataFrame, paths: list[str], recurs
     """``file_id, row_no, col_no, lexeme`` of delimited files: strict quoting, no type guessing.
 
     Row 0 is the header. A file that breaks the format gives one row with ``error`` set and no
-    others, so one bad file never removes good ones. Each file is read by one task.
+    others, so one bad file never removes good ones. Each file is read by one task, as a stream; only
+    where a store is open to Spark alone do contents come through it.
     """
+    if readable_directly(paths):
+        sized = sources.where(F.col("size") <= MOST_TABLE_BYTES) if "size" in sources.columns else sources
+        return stream_cells(sized, delimiter)
     content = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(paths).where(F.col("length") <= MOST_TABLE_BYTES)
-    held = content.dropDuplicates(["path"]).join(sources.select("file_id", "path", "extension"), "path").select("file_id", "extension", "content")
+    wanted = sources.select("file_id", "path", "extension")
+    held = wanted.join(content.select("path", "content"), "path").dropDuplicates(["file_id"]).select("file_id", "extension", "content")
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["file_id", "row_no", "col_no", "lexeme", "error"]
@@ -144,6 +152,14 @@ def read_cells(spark: SparkSession, sources: DataFrame, paths: list[str], recurs
     return held.mapInPandas(parse, "file_id long, row_no int, col_no int, lexeme string, error string")
 
 
+def preview_files(sources: DataFrame, n: int = 5, delimiter: str | None = None) -> DataFrame:
+    """``file_id, row_no, cells`` of each file's header and its first ``n`` rows with data (10 at most): nothing
+    after them is read."""
+    if not 1 <= n <= 10:
+        raise ValueError("a preview shows 1 to 10 rows")
+    return preview(stream_cells(sources, delimiter, n).where("error is null"), n)
+
+
 def preview(cells: DataFrame, n: int = 10) -> DataFrame:
     """Header and the first ``n`` rows with data, as arrays of display texts; 10 rows at most."""
     filled = cells.groupBy("file_id", "row_no").agg(F.count_if(F.col("lexeme") != "").alias("k"), F.transform(F.sort_array(F.collect_list(F.struct("col_no", "lexeme"))), lambda x: x["lexeme"]).alias("cells"))
