@@ -136,16 +136,16 @@ def fit_bags(
 
 
 def bag_column(text: Column) -> Column:
-    """``h, s``: a text's features and the sentences they stand in."""
+    """``h, s``: a text's features and the sentences they stand in, as 8-byte and 4-byte numbers."""
 
-    @F.arrow_udf("struct<h:array<long>,s:array<int>>")
+    @F.arrow_udf("struct<h:binary,s:binary>")
     def run(texts: pa.Array) -> pa.Array:
         hashes, sentences = [], []
         for t in texts:  # one text at a time is a Python object
             h, s, *_ = bag([(t.as_py() or "").encode()])
-            hashes.append(h.view(np.int64))
-            sentences.append(s.astype(np.int32))
-        return pa.StructArray.from_arrays([pa.array(hashes, pa.list_(pa.int64())), pa.array(sentences, pa.list_(pa.int32()))], ["h", "s"])
+            hashes.append(h.astype("<u8").tobytes())
+            sentences.append(s.astype("<u4").tobytes())
+        return pa.StructArray.from_arrays([pa.array(hashes, pa.binary()), pa.array(sentences, pa.binary())], ["h", "s"])
 
     return run(text)
 
@@ -168,7 +168,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 2000, max_
     drawn = parts[0].unionByName(parts[1])
     rows = held.withColumn("mark", mark).join(F.broadcast(drawn), ["doc_id", "mark"]).dropDuplicates(["doc_id"])
     rows = sorted(rows.select("doc_id", "toxic", bag_column(F.col("text")).alias("bag")).collect(), key=lambda r: r["doc_id"])
-    bags = [(np.array(r["bag"]["h"], np.int64).view(np.uint64), np.array(r["bag"]["s"], np.int64)) for r in rows]
+    bags = [(np.frombuffer(r["bag"]["h"], "<u8"), np.frombuffer(r["bag"]["s"], "<u4").astype(np.int64)) for r in rows]
     y = np.array([r["toxic"] for r in rows])
     share = {c: sizes.get(c, 0) / max(1, (y == c).sum()) for c in (0, 1)}
     return fit_bags(bags, y, np.array([share[c] for c in y], float) if len(y) else np.ones(0))
