@@ -2,30 +2,40 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.operators import merkle
+from tallyloom.operators import summary as M
 from tallyloom.operators.mapping import fingerprint
+from tallyloom.plans.recipes import Recipe  # noqa: F401
 
 #: Most files and bytes of one plan (fixed values).
 MAX_PLAN_FILES = 10_000
 MAX_PLAN_BYTES = 64 << 30
+#: The reader of plain delimited tables.
+GENERIC = "delimited"
 
 
 def plan_entries(files: DataFrame, routes: DataFrame) -> DataFrame:
-    """``file_id, relative_path, size, sha256, status, problem, adapter``: routing only, no parsing."""
-    joined = files.join(routes.select("file_id", "adapter", "code"), "file_id", "left")
+    """``file_id, relative_path, size, sha256, status, route, problem, adapter``: routing only, no parsing.
+
+    ``routes`` has ``file_id, adapter, code`` and, where profiles were asked for, ``mapping_route``. Routes and problems
+    have the names that ``summary.plan_problem`` and ``summary.plan_counts`` have.
+    """
+    asked = "mapping_route" in routes.columns
+    mapping = F.col("mapping_route") if asked else F.lit(None).cast("string")
+    joined = files.join(routes.select("file_id", "adapter", "code", *(["mapping_route"] if asked else [])), "file_id", "left")
+    taken = F.coalesce(mapping.isin("USER_MAPPING", "USER_MAPPING_PROFILE"), F.lit(False))
     status = (
-        F.when(F.col("excluded"), "EXCLUDED_ARTIFACT").when(F.col("duplicate_of").isNotNull(), "DUPLICATE").when(F.col("adapter").isNotNull(), "ROUTABLE").otherwise("FAILED")
-    )
-    problem = (
-        F.when(status == "ROUTABLE", None).when(status == "DUPLICATE", "DUPLICATE_INPUT").when(status == "EXCLUDED_ARTIFACT", "PRIOR_OUTPUT")
-        .when(F.col("code") == "FORMAT_AMBIGUOUS", "AMBIGUOUS_FORMAT").when(F.col("code") == "FORMAT_NOT_DETECTED", "UNKNOWN_FORMAT").otherwise(F.coalesce("code", F.lit("DISCOVERY_FAILED")))
+        F.when(F.col("excluded"), "EXCLUDED_ARTIFACT").when(F.col("duplicate_of").isNotNull(), "DUPLICATE")
+        .when(F.col("code").isNull() & (F.col("adapter").isNotNull() | taken), "ROUTABLE").otherwise("FAILED")
     )
-    return joined.select("file_id", "relative_path", "size", "sha256", status.alias("status"), problem.alias("problem"), "adapter")
+    route = F.when(status != "ROUTABLE", None).when(taken, mapping).when(F.col("adapter") == GENERIC, "GENERIC_INPUT").otherwise("EXACT_ADAPTER")
+    lost = F.col("sha256").isNull() & F.col("code").isNull()
+    told = F.when(lost, "INPUT_DISCOVERY_FAILED").otherwise(M.plan_problem(mapping, F.coalesce("code", F.lit("FORMAT_NOT_DETECTED")), F.col("relative_path")))
+    problem = F.when(status == "FAILED", told).when(status == "DUPLICATE", "DUPLICATE_INPUT")
+    return joined.select("file_id", "relative_path", "size", "sha256", status.alias("status"), route.alias("route"), problem.alias("problem"), "adapter")
 
 
 def plan_limit(files: DataFrame, most_files: int = MAX_PLAN_FILES, most_bytes: int = MAX_PLAN_BYTES) -> str | None:
@@ -35,14 +45,10 @@ def plan_limit(files: DataFrame, most_files: int = MAX_PLAN_FILES, most_bytes: i
 
 
 def summarise_plan(entries: DataFrame) -> DataFrame:
-    """One row of counters with the plan's readiness."""
-    n = lambda s: F.count_if(F.col("status") == s)
-    out = entries.agg(
-        F.count("*").alias("n_files"), n("ROUTABLE").alias("n_routable"), n("FAILED").alias("n_failed"), n("DUPLICATE").alias("n_duplicate"), n("EXCLUDED_ARTIFACT").alias("n_excluded"),
-        F.coalesce(F.sum("size"), F.lit(0)).alias("total_bytes"),
-    )
-    ready = F.when(F.col("n_routable") == 0, "BLOCKED").when(F.col("n_failed") > 0, "READY_WITH_KNOWN_FAILURES").otherwise("READY")
-    return out.withColumn("readiness", ready)
+    """One row: the fourteen counters of ``summary.plan_counts``, ``total_bytes`` and ``readiness``."""
+    size = entries.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total_bytes")).first()["total_bytes"]
+    ready = F.when(F.col("routable") == 0, "BLOCKED").when(F.col("failed") > 0, "READY_WITH_KNOWN_FAILURES").otherwise("READY")
+    return M.plan_counts(entries).withColumns({"total_bytes": F.lit(size).cast("long"), "readiness": ready})
 
 
 def plan_digest(entries: DataFrame, options: dict) -> str:
@@ -55,25 +61,3 @@ def plan_changes(reviewed: DataFrame, rebuilt: DataFrame, range_rows: int = merk
     """``file_id, change, a, b``: entries that were added, removed or changed since a plan was reviewed. Digest
     trees tell which ranges of entries differ, and only those are compared."""
     return merkle.changes(reviewed, rebuilt, "file_id", [c for c in reviewed.columns if c != "file_id"], range_rows)
-
-
-@dataclass(frozen=True)
-class Recipe:
-    """Saved behaviour of a conversion. Holds no paths and no leave to overwrite."""
-
-    recursive: bool = False
-    extensions: tuple[str, ...] = ()
-    sort: str = "auto"
-    include_signals: bool = False
-    adapter: str | None = None
-    on_error: str = "continue"
-
-    def fingerprint(self) -> str:
-        return fingerprint(asdict(self), "tallyloom-recipe-1")
-
-    def merged(self, **options) -> Recipe:
-        """The recipe itself: other options can't be mixed in."""
-        given = {k: v for k, v in options.items() if v is not None}
-        if given:
-            raise ValueError(f"a recipe can't be combined with {sorted(given)}")
-        return self

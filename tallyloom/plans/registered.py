@@ -514,11 +514,14 @@ def plan_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT count(*) AS n_files, count(*) FILTER (WHERE length(text) >= 400) AS n_routable, count(*) FILTER (WHERE length(text) < 400) AS n_failed, CAST(0 AS BIGINT) AS n_duplicate, CAST(0 AS BIGINT) AS n_excluded,
-  CAST(sum(strlen(text)) AS BIGINT) AS total_bytes, CASE WHEN count(*) FILTER (WHERE length(text) >= 400) = 0 THEN 'BLOCKED' WHEN count(*) FILTER (WHERE length(text) < 400) > 0 THEN 'READY_WITH_KNOWN_FAILURES' ELSE 'READY' END AS readiness FROM documents""")
+SELECT count(*) AS total_inputs, count(*) FILTER (WHERE a AND NOT z) AS routable, count(*) FILTER (WHERE a AND NOT z) AS exact_adapters, CAST(0 AS BIGINT) AS user_mappings, CAST(0 AS BIGINT) AS mapping_profiles, CAST(0 AS BIGINT) AS generic_inputs,
+  CAST(0 AS BIGINT) AS drifted, CAST(0 AS BIGINT) AS unmapped, count(*) FILTER (WHERE z) AS ambiguous, count(*) FILTER (WHERE NOT a) AS unsupported, CAST(0 AS BIGINT) AS malformed, CAST(0 AS BIGINT) AS duplicates, CAST(0 AS BIGINT) AS excluded_artifacts,
+  count(*) FILTER (WHERE NOT a OR z) AS failed, CAST(sum(n) AS BIGINT) AS total_bytes,
+  CASE WHEN count(*) FILTER (WHERE a AND NOT z) = 0 THEN 'BLOCKED' WHEN count(*) FILTER (WHERE NOT a OR z) > 0 THEN 'READY_WITH_KNOWN_FAILURES' ELSE 'READY' END AS readiness
+FROM (SELECT length(text) >= 400 AS a, length(text) >= 2000 AS z, strlen(text) AS n FROM documents)""")
 def plan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyloom.plans.planning import plan_entries, summarise_plan
 
     files = A.document_files(spark, sf_dir).withColumns({"duplicate_of": F.lit(None).cast("long"), "excluded": F.lit(False)})
-    probes = R.probe_matrix(files, [R.Rule("text", F.length("text") >= 400, F.lit(0.98))])
+    probes = R.probe_matrix(files, [R.Rule("text", F.length("text") >= 400, F.lit(0.98)), R.Rule("long", F.length("text") >= 2000, F.lit(0.95))])
     return summarise_plan(plan_entries(files, R.best_routes(files, probes)))

@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyloom.functions import text as T
 from tallyloom.functions.shared import cut
 from tallyloom.operators import routing as R
+from tallyloom.operators.joins import keyed_join
 from tallyloom.sources import results
+from tallyloom.sources.delimited import readable_directly, stream_contents
 from tallyloom.sources.formats import Formats
 from tallyloom.sources.scan import MOST_TABLE_BYTES
 
@@ -37,20 +40,36 @@ def rules(formats: Formats | None = None) -> list[R.Rule]:
     return own + (list(formats.rules.values()) if formats else [])
 
 
-def routed(spark: SparkSession, sources: DataFrame, paths: list[str], recursive: bool, formats: Formats | None = None, forced: str | None = None) -> DataFrame:
-    """``file_id, content, adapter, code`` of each source: content only where a reader needs it whole."""
+def probed(spark: SparkSession, sources: DataFrame, paths: list[str], recursive: bool, formats: Formats | None = None) -> DataFrame:
+    """``file_id, adapter, matched, confidence, private, reason`` of each source and reader.
+
+    Readers look at contents in the scan; what is joined with the sources is a path and its claims.
+    """
     held = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(paths).where(F.col("length") <= MOST_TABLE_BYTES)
-    files = held.dropDuplicates(["path"]).join(sources.select("file_id", "path", "extension"), "path").select("file_id", "extension", "content")
-    files = files.select("*", R.graded_probes(rules(formats)).alias("probes"))
-    probes = cut(files.select("file_id", F.inline("probes")))
-    routes = R.best_routes(sources, probes, forced)
-    return cut(files.select("file_id", "content").join(routes, "file_id").select("file_id", F.when(F.col("adapter") != TABLE, F.col("content")).alias("content"), "adapter", "code"))
+    claims = held.select("path", "content", T.extension(F.col("path")).alias("extension")).select("path", R.graded_probes(rules(formats)).alias("probes"))
+    return cut(claims.dropDuplicates(["path"]).join(sources.select("file_id", "path"), "path").select("file_id", F.inline("probes")))
+
+
+def routed(spark: SparkSession, sources: DataFrame, paths: list[str], recursive: bool, formats: Formats | None = None, forced: str | None = None) -> DataFrame:
+    """``file_id, content, adapter, code`` of each source: content only where a reader needs it whole.
+
+    Contents are read a second time for those files alone, where executors can open them by themselves; else they
+    are joined as Spark scans them.
+    """
+    routes = cut(R.best_routes(sources, probed(spark, sources, paths, recursive, formats), forced))
+    whole = cut(sources.select("file_id", "path").join(routes.where((F.col("adapter") != TABLE) & F.col("code").isNull()).select("file_id"), "file_id", "left_semi"))
+    if readable_directly(paths):
+        content = stream_contents(whole)
+    else:
+        held = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(paths).where(F.col("length") <= MOST_TABLE_BYTES)
+        content = keyed_join(held.select("path", "content"), whole, ["path"]).dropDuplicates(["file_id"]).select("file_id", "content")
+    return cut(routes.join(content, "file_id", "left").select("file_id", "content", "adapter", "code"))
 
 
 def _filled(peaks: DataFrame) -> DataFrame:
     has = set(peaks.columns)
     value = lambda c, t: F.col(c).cast(t) if c in has else F.lit(None).cast(t)
-    return peaks.select("file_id", *[value(c, t).alias(c) for c, t in PEAKS.items()])
+    return peaks.select("file_id", *[value(c, t).alias(c) for c, t in PEAKS.items()], value("line_no", "int").alias("line_no"))
 
 
 def result_peaks(files: DataFrame, formats: Formats | None = None) -> tuple[DataFrame, DataFrame]:
@@ -69,8 +88,8 @@ def result_peaks(files: DataFrame, formats: Formats | None = None) -> tuple[Data
         rows, issues = formats.parse(name, of(name))
         parts.append(_filled(rows))
         faults.append(issues.select("file_id", "code"))
-    place = Window.partitionBy("file_id").orderBy("channel", "observation_order", "peak_number", "retention_time", "area")
-    peaks = reduce(DataFrame.unionByName, parts).withColumn("row_no", F.row_number().over(place))
+    place = Window.partitionBy("file_id").orderBy("channel", "observation_order", "peak_number", "retention_time", "area", "line_no")
+    peaks = reduce(DataFrame.unionByName, parts).withColumn("row_no", F.row_number().over(place)).drop("line_no")
     issues = reduce(DataFrame.unionByName, faults).distinct().withColumn("severity", F.lit("error"))
     empty = files.where((F.col("adapter") != TABLE) & F.col("code").isNull()).join(cut(peaks).select("file_id").distinct(), "file_id", "left_anti")
     none = empty.join(issues.select("file_id").distinct(), "file_id", "left_anti").select("file_id", F.lit("NO_PEAKS_REPORTED").alias("code"), F.lit("warning").alias("severity"))

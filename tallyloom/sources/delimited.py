@@ -146,6 +146,18 @@ def stream_digests(sources: DataFrame, files_per_task: int = 64) -> DataFrame:
     return _dealt(sources.select("path").distinct(), files_per_task).mapInArrow(read, "path string, sha256 string")
 
 
+def stream_contents(sources: DataFrame, files_per_task: int = 64) -> DataFrame:
+    """``file_id, content`` of the files in ``sources (file_id, path)``, each read where its row goes on."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file_id, path in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with _opened(path) as stream:
+                    yield pa.RecordBatch.from_arrays([pa.array([file_id], pa.int64()), pa.array([stream.read()], pa.binary())], ["file_id", "content"])
+
+    return _dealt(sources.select(F.col("file_id").cast("long"), "path"), files_per_task).mapInArrow(read, "file_id long, content binary")
+
+
 def stream_cells(sources: DataFrame, delimiter: str | None = None, most_rows: int | None = None, files_per_task: int = 64) -> DataFrame:
     """``file_id, row_no, col_no, lexeme, error`` of the files in ``sources (file_id, path, extension)``.
 

@@ -152,6 +152,13 @@ def read_cells(spark: SparkSession, sources: DataFrame, paths: list[str], recurs
     return held.mapInPandas(parse, "file_id long, row_no int, col_no int, lexeme string, error string")
 
 
+def read_heads(spark: SparkSession, sources: DataFrame, paths: list[str], recursive: bool = False) -> DataFrame:
+    """The header cells of delimited files, and faults up to there; as ``read_cells`` has them."""
+    if readable_directly(paths):
+        return stream_cells(sources, most_rows=1).where("row_no = 0 or error is not null")
+    return read_cells(spark, sources, paths, recursive).where("row_no = 0 or error is not null")
+
+
 def preview_files(sources: DataFrame, n: int = 5, delimiter: str | None = None) -> DataFrame:
     """``file_id, row_no, cells`` of each file's header and its first ``n`` rows with data (10 at most): nothing
     after them is read."""

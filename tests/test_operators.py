@@ -247,8 +247,10 @@ def test_plans(spark):
     files = spark.createDataFrame([(1, "a.csv", 10, "h1", None, False), (2, "b.csv", 20, "h2", None, False), (3, "a.csv", 10, "h1", 1, False)], "file_id long, relative_path string, size long, sha256 string, duplicate_of long, excluded boolean")
     routes = spark.createDataFrame([(1, "generic_csv", None), (2, None, "FORMAT_AMBIGUOUS"), (3, None, None)], "file_id long, adapter string, code string")
     entries = planning.plan_entries(files, routes)
-    assert [tuple(r)[-3:] for r in entries.orderBy("file_id").collect()] == [("ROUTABLE", None, "generic_csv"), ("FAILED", "AMBIGUOUS_FORMAT", None), ("DUPLICATE", "DUPLICATE_INPUT", None)]
-    assert planning.summarise_plan(entries).first()["readiness"] == "READY_WITH_KNOWN_FAILURES"
+    got = [(r["status"], r["route"], r["problem"], r["adapter"]) for r in entries.orderBy("file_id").collect()]
+    assert got == [("ROUTABLE", "EXACT_ADAPTER", None, "generic_csv"), ("FAILED", None, "ADAPTER_AMBIGUOUS", None), ("DUPLICATE", None, "DUPLICATE_INPUT", None)]
+    told = planning.summarise_plan(entries).first()
+    assert (told["readiness"], told["total_inputs"], told["exact_adapters"], told["ambiguous"], told["duplicates"], told["total_bytes"]) == ("READY_WITH_KNOWN_FAILURES", 3, 1, 1, 1, 40)
     assert planning.plan_digest(entries, {"a": 1}) == planning.plan_digest(entries.repartition(3), {"a": 1}) != planning.plan_digest(entries, {"a": 2})
     later = entries.withColumn("sha256", F.when(F.col("file_id") == 2, "new").otherwise(F.col("sha256"))).where("file_id <> 3")
     assert sorted((r["file_id"], r["change"]) for r in planning.plan_changes(entries, later).collect()) == [(2, "changed"), (3, "removed")]
