@@ -4,7 +4,7 @@ First pass: tasks hash the n-grams of their texts and send, for each hash partit
 with counts, packed. Summaries merge: counts of one key add up, and where more than the partition's capacity are left,
 all lose as much as the first one over it has. The capacity exceeds the partition's mass divided
 by the threshold, so no n-gram that stands as often as the threshold can be lost, whatever the order
-of merging. What survives becomes a bitmap of bounded size.
+of merging. What with its losses may come up to the threshold becomes a bitmap of bounded size.
 
 Second pass: n-grams that the bitmap lets through are counted exactly, by their words. Keys only choose
 what is counted: two n-grams of one key cost work and never a wrong count. Scores, cuts and the dropping of
@@ -99,10 +99,10 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[Grams]:
         langs, texts = batch.column(0), batch.column(1)
         sizes = np.cumsum(np.asarray(pc.add(pc.fill_null(pc.binary_length(texts), 0), 1)).astype(np.int64))
         at = 0
-        while at < len(batch):  # about 8 MB of texts at a time are Python objects
-            upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + 8_000_000)))
+        while at < len(batch):  # about 4 MB of texts at a time are Python objects
+            upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + 4_000_000)))
             part = [t.as_py().encode() if t.is_valid else b"" for t in texts[at:upto]]
-            for first, some in chunks(part, 8_000_000):
+            for first, some in chunks(part, 4_000_000):
                 yield Grams(some, langs[at + first : at + first + len(some)].to_pylist())
             at = upto
 
@@ -121,20 +121,23 @@ def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(steps, dtype=np.uint32), np.ascontiguousarray(raw[4 * n :].reshape(8, n).T).view("<i8").reshape(-1)
 
 
-def merged(parts: list[tuple[np.ndarray, np.ndarray]], capacity: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Misra-Gries summaries as one, with ``capacity`` counters at most."""
+def merged(parts: list[tuple[np.ndarray, np.ndarray]], capacity: int | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """Misra-Gries summaries as one, with ``capacity`` counters at most, and what each counter has lost in it."""
     keys = np.concatenate([k for k, _ in parts])
-    counts = np.concatenate([c for _, c in parts])
-    order = np.argsort(keys, kind="stable")
-    keys, first = np.unique(keys[order], return_index=True)
-    counts = np.add.reduceat(counts[order], first) if len(keys) else counts
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else order
+    counts = np.concatenate([c for _, c in parts])[order]
+    keys, counts = keys[first], np.add.reduceat(counts, first) if len(first) else counts
+    lost = 0
     if capacity is not None and len(keys) > capacity:
-        counts = counts - np.partition(counts, len(counts) - capacity - 1)[len(counts) - capacity - 1]
+        lost = int(np.partition(counts, len(counts) - capacity - 1)[len(counts) - capacity - 1])
+        counts = counts - lost
         keys, counts = keys[counts > 0], counts[counts > 0]
-    return keys, counts
+    return keys, counts, lost
 
 
-def summaries(rows: DataFrame, most_words: int, partitions: int, held: int = 6_000_000) -> DataFrame:
+def summaries(rows: DataFrame, most_words: int, partitions: int, held: int = 1_500_000) -> DataFrame:
     """``p, mass, packed``: each task's summaries by hash partition; nothing is lost here, so they are exact.
     A task gives out what it has when it holds ``held`` keys."""
     bits = partitions.bit_length() - 1
@@ -143,7 +146,7 @@ def summaries(rows: DataFrame, most_words: int, partitions: int, held: int = 6_0
         parts: list[tuple[np.ndarray, np.ndarray]] = []
 
         def out() -> pa.RecordBatch:
-            keys, counts = merged(parts)
+            keys, counts, _ = merged(parts)
             place = np.searchsorted(keys >> np.uint64(32), np.arange(partitions + 1, dtype=np.uint64))
             full = np.flatnonzero(np.diff(place))
             blobs = [_packed(keys[place[p] : place[p + 1]] & np.uint64(0xFFFFFFFF), counts[place[p] : place[p + 1]]) for p in full]
@@ -157,7 +160,7 @@ def summaries(rows: DataFrame, most_words: int, partitions: int, held: int = 6_0
                 parts.append(np.unique(np.concatenate(found), return_counts=True))
                 waiting += len(parts[-1][0])
             if waiting > held:
-                parts[:] = [merged(parts)]
+                parts = [merged(parts)[:2]]
                 waiting = len(parts[0][0])
                 if waiting > held // 2:
                     yield out()
@@ -168,41 +171,47 @@ def summaries(rows: DataFrame, most_words: int, partitions: int, held: int = 6_0
     return rows.mapInArrow(run, "p int, mass long, packed binary")
 
 
-def surviving_keys(rows: DataFrame, most_words: int, threshold: int, partitions: int) -> tuple[int, bytearray]:
+def surviving_keys(rows: DataFrame, most_words: int, threshold: int, partitions: int, slack: int = 4) -> tuple[int, bytearray]:
     """A bitmap of the keys of all n-grams that may stand ``threshold`` times, and its bits' logarithm.
 
-    A hash partition's summaries meet in one task, which holds one for each ``threshold`` of its mass at most: with twice as many
-    partitions, half as many. Only the finished bitmap, of bounded size, comes to the driver.
+    A hash partition's summaries meet in one task, which holds ``slack`` counters for each ``threshold`` of its mass at most:
+    with twice as many partitions, half as many. A key survives where its counter and all that counters have
+    lost there come up to the threshold. Only the finished bitmap, of bounded size, comes to the driver.
     """
     found = cut(summaries(rows, most_words, partitions))
     mass = found.groupBy("p").agg(F.sum("mass").alias("all"), F.count("*").alias("blobs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, total, waiting = None, 0, []
+        p, total, lost, waiting = None, 0, 0, []
 
-        def summed(capacity: int) -> None:
-            waiting[:] = [merged(waiting, capacity)] if waiting else []
+        def summed() -> None:
+            nonlocal lost
+            keys, counts, less = merged(waiting, slack * (total // threshold + 1))
+            waiting[:] = [(keys, counts)]
+            lost += less
 
         def out() -> pa.RecordBatch:
-            summed(total // threshold + 1)
-            return pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([len(waiting[0][0])], pa.int64()), pa.array([_packed(*waiting[0])], pa.binary())], ["p", "n", "packed"])
+            summed()
+            keys, counts = waiting[0]
+            enough = counts + lost >= threshold
+            return pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([int(enough.sum())], pa.int64()), pa.array([_packed(keys[enough], counts[enough])], pa.binary())], ["p", "n", "packed"])
 
         for batch in batches:
             for q, every, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if q != p:
                     if p is not None:
                         yield out()
-                    p, total, waiting = q, every, []
+                    p, total, lost, waiting = q, every, 0, []
                 waiting.append(_unpacked(packed.as_py()))
                 if sum(len(k) for k, _ in waiting[1:]) > max(1_000_000, len(waiting[0][0])):
-                    summed(total // threshold + 1)
+                    summed()
         if p is not None:
             yield out()
 
     dealt = found.select("p", "packed").join(F.broadcast(mass.select("p", "all")), "p").select("p", "all", "packed")
     kept = cut(dealt.repartition(partitions, "p").sortWithinPartitions("p").mapInArrow(run, "p int, n long, packed binary"))
     survivors = kept.agg(F.sum("n")).first()[0] or 0
-    bits, by = min(MOST_BITS, max(16, (16 * survivors).bit_length())), partitions.bit_length() - 1
+    bits, by = min(MOST_BITS, max(16, (32 * survivors).bit_length())), partitions.bit_length() - 1
     # Each partition has its own stretch of the bitmap.
     own = max(3, bits - by)
 
