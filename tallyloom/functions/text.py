@@ -91,11 +91,6 @@ def preview_display(text: Column) -> Column:
     return audit_display(F.when(text.rlike(r"[\p{Cc}\p{Cf}\p{Zl}\p{Zp}]"), run(text)).otherwise(text))
 
 
-def _shape(text: Column) -> Column:
-    """The text with each ASCII letter as ``a`` and each digit as ``0``."""
-    return F.translate(text, string.ascii_letters + string.digits, "a" * 52 + "0" * 10)
-
-
 def _only(text: Column, allowed: str) -> Column:
     """Whether a text isn't empty and has characters of ``allowed`` alone."""
     return (text != "") & (F.translate(text, allowed, "") == "")
@@ -110,17 +105,57 @@ def _schemes(text: Column) -> Column:
     """What looks like the scheme of an address, in lower case, with its colon and slashes."""
     lowered = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
     named = F.regexp_extract_all(lowered, F.lit("[a-z0-9+.-]+:(?://)?"), F.lit(0))
-    return F.filter(named, lambda s: F.substring(_shape(s), 1, 1) == "a")
+    return F.filter(named, lambda s: F.contains(F.lit(string.ascii_lowercase), F.substring(s, 1, 1)))
+
+
+_NAME = string.ascii_letters + string.digits
+
+
+def _ends_apart(piece: Column, joining: str) -> Column:
+    """Whether a piece's last character isn't one of ``joining``: what follows it doesn't go on from a name."""
+    return ~F.contains(F.lit(joining), F.substring(piece, -1, 1))
+
+
+def _at_cuts(token: Column, mark: str, test) -> Column:
+    """Whether ``test(before, after, i, n)`` holds at any of the token's ``n`` cuts at ``mark``; ``before`` and
+    ``after`` are the pieces on both sides, and a piece between two marks that touch is empty."""
+    pieces = F.split(token, mark)
+    n = F.size(pieces) - 1
+    return (n > 0) & F.exists(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: test(F.get(pieces, i - 1), F.get(pieces, i), i, n))
+
+
+def _begins(before: Column, i: Column, joining: str) -> Column:
+    """Whether a mark begins something: at the token's start, or after a character that joins nothing to it."""
+    return F.when(before == "", i == 1).otherwise(_ends_apart(before, joining))
 
 
 def _token_is_local(token: Column) -> Column:
-    """A drive letter with something after its colon, ``\\\\host\\share``, or a name that starts at a root;
-    a slash roots a name only outside web addresses, which go to the token's end."""
-    shape = _shape(token)
-    no_web = _shape(F.regexp_replace(token, "(?is)(^|[^a-z0-9+.-])https?://.+", "$1web"))
-    drive = shape.rlike("(?s)(^|[^a0])a:.")
-    share = token.rlike(r"(?s)(^|[^\\])\\\\[^\\]+\\.")
-    return drive | share | shape.rlike(r"(^|[^a0\\])\\[^\\]") | no_web.rlike("(?s)(^|[^a0_:/])/.")
+    """A drive letter with something after its colon, a host and a share behind two backslashes, or a name that
+    starts at a root; a slash roots a name only before a web address, which goes to the token's end."""
+    follows = lambda after, i, n: (after != "") | (i < n)
+
+    def drive(before: Column, after: Column, i: Column, n: Column) -> Column:
+        letter = F.contains(F.lit(string.ascii_letters), F.substring(before, -1, 1)) & (before != "")
+        alone = (F.length(before) == 1) & (i > 0) | (F.length(before) > 1) & ~F.contains(F.lit(_NAME), F.substring(before, -2, 1))
+        return letter & alone & follows(after, i, n)
+
+    def root(before: Column, after: Column, i: Column, n: Column) -> Column:
+        return _begins(before, i, _NAME) & (after != "")
+
+    def slash(before: Column, after: Column, i: Column, n: Column) -> Column:
+        return _begins(before, i, _NAME + "_:") & follows(after, i, n)
+
+    pieces = F.split(token, r"\\")
+    piece = lambda i: F.get(pieces, i)
+
+    def share(before: Column, after: Column, i: Column, n: Column) -> Column:
+        """``after`` is a host: two marks stand before it, no third one, and a mark and more after it."""
+        two = (i >= 2) & (before == "") & ((i == 2) | (piece(i - 2) != ""))
+        return two & (after != "") & (i < n) & ((piece(i + 1) != "") | (i + 1 < n))
+
+    web = F.regexp_instr(token, F.lit("(?is)(?:^|[^a-z0-9+.-])https?://."))
+    own = F.when(web > 0, F.concat(F.substring(token, F.lit(1), web), F.lit("w"))).otherwise(token)  # a word stands for the address
+    return _at_cuts(token, ":", drive) | _at_cuts(token, r"\\", share) | _at_cuts(token, r"\\", root) | _at_cuts(own, "/", slash)
 
 
 def has_local_path(text: Column) -> Column:
