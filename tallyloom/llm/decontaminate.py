@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, merge_spans, row_key
+from .common import ascii_lower, cut, free_names, merge_spans, row_key
 
 #: Runs of digits, lower-case letters and non-ASCII characters.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -153,12 +153,14 @@ def contamination_digest(docs: DataFrame, benchmark: DataFrame, **options) -> Da
     )
 
 
-def _with_spans(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
-    hit = contamination(docs, benchmark, id_col, text_col, **options).where("n_hit > 0").groupBy("doc_id", "digest").agg(F.first("spans").alias("__spans"))
-    hit = hit.select(F.struct(F.col("doc_id").alias("id"), "digest").alias("__hit"), "__spans")
-    held = docs.withColumn("__key", row_key(F.col(id_col), F.col(text_col)))
-    same = F.col("__key.id").eqNullSafe(F.col("__hit.id")) & (F.col("__key.digest") == F.col("__hit.digest"))
-    return held.join(hit, same, "left")
+def _with_spans(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, **options) -> tuple[DataFrame, str]:
+    """``docs`` with the hit spans of each row, null where there is none, and the name of their column."""
+    spans, hit_key, own_key = free_names(docs, "__spans", "__hit", "__key")
+    hit = contamination(docs, benchmark, id_col, text_col, **options).where("n_hit > 0").groupBy("doc_id", "digest").agg(F.first("spans").alias(spans))
+    hit = hit.select(F.struct(F.col("doc_id").alias("id"), "digest").alias(hit_key), spans)
+    held = docs.withColumn(own_key, row_key(F.col(id_col), F.col(text_col)))
+    same = F.col(own_key)["id"].eqNullSafe(F.col(hit_key)["id"]) & (F.col(own_key)["digest"] == F.col(hit_key)["digest"])
+    return held.join(hit, same, "left"), spans
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -166,8 +168,8 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_i
 
     Null and empty texts hold none and stay, as do repeated rows of clean documents.
     """
-    joined = _with_spans(docs, benchmark, id_col, text_col, **options)
-    return joined.where("__spans is null").select(*[joined[c] for c in docs.columns])
+    joined, spans = _with_spans(docs, benchmark, id_col, text_col, **options)
+    return joined.where(F.col(spans).isNull()).select(*docs.columns)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -175,18 +177,19 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Null texts stay null; all rows and columns stay.
     """
-    joined = _with_spans(docs, benchmark, id_col, text_col, **options)
+    joined, spans = _with_spans(docs, benchmark, id_col, text_col, **options)
+    lead, parts, cut_col = free_names(joined, "__leads", "__pieces", "__cut")
     pieces = F.regexp_extract_all(F.col(text_col), F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+|[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"), F.lit(0))
     leads = F.when(F.col(text_col).rlike(r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"), 1).otherwise(0)
 
     def stays(piece: Column, i: Column) -> Column:
-        k = ((i - F.col("__leads")) / 2).cast("int")
-        is_word = (i - F.col("__leads")) % 2 == 0
-        return ~(is_word & F.exists("__spans", lambda s: (s["start"] <= k) & (k < s["end"])))
+        k = ((i - F.col(lead)) / 2).cast("int")
+        is_word = (i - F.col(lead)) % 2 == 0
+        return ~(is_word & F.exists(spans, lambda s: (s["start"] <= k) & (k < s["end"])))
 
-    cut_text = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter("__pieces", stays), ""))
-    joined = joined.withColumn("__leads", leads).withColumn("__pieces", F.when(F.col("__spans").isNotNull(), pieces)).withColumn("__cut", cut_text)
-    return joined.select(*[F.col("__cut").alias(c) if c == text_col else joined[c] for c in docs.columns])
+    cut_text = F.when(F.col(spans).isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(parts, stays), ""))
+    joined = joined.withColumn(lead, leads).withColumn(parts, F.when(F.col(spans).isNotNull(), pieces)).withColumn(cut_col, cut_text)
+    return joined.select(*[F.col(cut_col).alias(c) if c == text_col else F.col(c) for c in docs.columns])
 
 
 ORACLE_SQL = r"""

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, bucket, chunks, joined
+from .common import LOWER_BYTES, bucket, chunks, free_names, joined
 
 #: Families of common languages (fixed values); a language that isn't listed is a family by itself.
 FAMILIES = {
@@ -236,5 +236,6 @@ def keep_identified(
     model = fit_languages(_learnable(docs, id_col, text_col, lang_col, options.get("modulus", 4), options.get("held", 2)), options.get("per_language", 300))
     if not model.families:
         return docs.where(F.coalesce(F.col(text_col), F.lit("")).rlike(r"\p{L}"))
-    held = docs.withColumn("__guess", language_column(F.col(text_col), model))
-    return held.where((F.col("__guess.lang") != UNKNOWN) & (F.col("__guess.score") >= min_score)).drop("__guess")
+    (guess,) = free_names(docs, "__guess")
+    held = docs.withColumn(guess, language_column(F.col(text_col), model))
+    return held.where((F.col(guess)["lang"] != UNKNOWN) & (F.col(guess)["score"] >= min_score)).drop(guess)

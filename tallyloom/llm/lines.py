@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import POWERS, SPACE, cut, mix, spread
+from .common import POWERS, SPACE, cut, free_names, mix, spread
 
 
 def variant_hashes(line: str, max_edits: int) -> np.ndarray:
@@ -159,26 +159,27 @@ def dedup_lines(
     # A line that stands once, and isn't near another, stays.
     lines, firsts = spread(facts.select("doc", "at", "h"), firsts.where("n > 1 or near"), "h", "n", facts.count(), ["doc", "at"])
     judged = lines.join(firsts, ["h", "salt"]).where("near or struct(doc, at) <> first")
+    own_gone, own_exact, own_d, own_doc, own_lines = free_names(docs, "__gone", "__exact", "__d", "__doc", "__lines")
     gone = judged.groupBy("doc").agg(
-        F.sort_array(F.collect_set("at")).alias("__gone"),
-        F.count_distinct(F.when(F.struct("doc", "at") != F.col("first"), F.col("at"))).alias("__exact"),
+        F.sort_array(F.collect_set("at")).alias(own_gone),
+        F.count_distinct(F.when(F.struct("doc", "at") != F.col("first"), F.col("at"))).alias(own_exact),
     )
     doc = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("digest"))
-    held = docs.withColumn("__doc", doc)
-    joined = held.join(gone.withColumnRenamed("doc", "__d"), F.col("__doc").eqNullSafe(F.col("__d")), "left")
+    held = docs.withColumn(own_doc, doc)
+    joined = held.join(gone.withColumnRenamed("doc", own_d), F.col(own_doc).eqNullSafe(F.col(own_d)), "left")
     # The lines between one gone line and the next, joined again.
     split = F.split(F.col(text_col), "\n")
     gaps = F.zip_with(
-        F.concat(F.array(F.lit(-1)), F.col("__gone")), F.concat(F.col("__gone"), F.array(F.size(split))), lambda a, b: F.struct((a + 1).alias("from"), b.alias("to"))
+        F.concat(F.array(F.lit(-1)), F.col(own_gone)), F.concat(F.col(own_gone), F.array(F.size(split))), lambda a, b: F.struct((a + 1).alias("from"), b.alias("to"))
     )
-    kept = F.flatten(F.transform(gaps, lambda g: F.slice(F.col("__lines"), g["from"] + 1, g["to"] - g["from"])))
-    joined = joined.withColumn("__lines", F.when(F.col("__gone").isNotNull(), split))
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    n_exact = F.coalesce("__exact", F.lit(0)).cast("long")
+    kept = F.flatten(F.transform(gaps, lambda g: F.slice(F.col(own_lines), g["from"] + 1, g["to"] - g["from"])))
+    joined = joined.withColumn(own_lines, F.when(F.col(own_gone).isNotNull(), split))
+    text = F.when(F.col(own_gone).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    n_exact = F.coalesce(own_exact, F.lit(0)).cast("long")
     columns = [c for c in docs.columns if c not in ("n_exact", "n_near")]
     return joined.select(
         *[text.alias(c) if c == text_col else F.col(c) for c in columns],
-        n_exact.alias("n_exact"), (F.coalesce(F.size("__gone"), F.lit(0)).cast("long") - n_exact).alias("n_near"),
+        n_exact.alias("n_exact"), (F.coalesce(F.size(own_gone), F.lit(0)).cast("long") - n_exact).alias("n_near"),
     )
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import compile_search, flagged_stretches
-from .common import chunks, joined
+from .common import chunks, free_names, joined
 
 
 @dataclass(frozen=True)
@@ -106,7 +106,8 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "[secret]", rule
 
     Null and empty texts stay as they are; all rows and columns stay; an empty table stays empty.
     """
-    spans = docs.withColumn("__spans", secret_spans(F.col(text_col), rules))
+    (own,) = free_names(docs, "__spans")
+    spans = docs.withColumn(own, secret_spans(F.col(text_col), rules))
     text = F.col(text_col)
 
     def step(acc: Column, s: Column) -> Column:
@@ -118,5 +119,5 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "[secret]", rule
         )
 
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    whole = F.aggregate("__spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return spans.select(*[F.when(F.size("__spans") == 0, text).otherwise(whole).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    whole = F.aggregate(own, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return spans.select(*[F.when(F.size(own) == 0, text).otherwise(whole).alias(c) if c == text_col else F.col(c) for c in docs.columns])

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix
+from .common import cut, free_names, mix
 from .components import components
 
 BITS = 64
@@ -315,7 +315,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     The document with the smallest id stays; among copies of its text, one row stays. Null and empty
     texts are one text; an empty table stays empty.
     """
-    verdict = near_duplicates(docs, id_col, text_col, **options).where("keep").select(F.col("text_key").alias("__key"), F.col("doc_id").alias("__first"))
-    held = docs.withColumn("__key", _text_key(F.col(text_col)))
-    kept = held.join(cut(verdict), "__key").where(F.col(id_col).cast("long").eqNullSafe(F.col("__first")))
-    return kept.dropDuplicates(["__key"]).select(*[kept[c] for c in docs.columns])
+    key, first = free_names(docs, "__key", "__first")
+    verdict = near_duplicates(docs, id_col, text_col, **options).where("keep").select(F.col("text_key").alias(key), F.col("doc_id").alias(first))
+    held = docs.withColumn(key, _text_key(F.col(text_col)))
+    kept = held.join(cut(verdict), key).where(F.col(id_col).cast("long").eqNullSafe(F.col(first)))
+    return kept.dropDuplicates([key]).select(*docs.columns)
