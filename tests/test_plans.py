@@ -170,3 +170,44 @@ def test_texts_beyond_a_cell_go_to_a_part(spark, tmp_path):
         publish.write_tables({"import_log": log.withColumn("message", F.lit(long))}, str(tmp_path / "c"), "csv")
     with pytest.raises(publish.PublishRefused, match="SIDECAR_MODE_INVALID"):
         publish.write_tables({"import_log": log}, str(tmp_path / "d"), "tsv")
+
+
+# -- streams ---------------------------------------------------------------------------------
+
+
+def test_repeats_are_dropped_within_the_watermark_and_forgotten_after(spark, tmp_path):
+    from tallyloom.streaming import ingest
+
+    notices = tmp_path / "notices"
+    notices.mkdir()
+
+    def tell(number: int, *rows) -> None:
+        text = "".join(json.dumps({"path": p, "modificationTime": t}) + "\n" for p, t in rows)
+        (notices / f"{number}.json").write_text(text, encoding="utf-8")
+
+    def run() -> list:
+        seen: list = []
+        stream = spark.readStream.schema("path string, modificationTime timestamp").json(str(notices))
+        ingest.consolidate(stream, lambda paths, n: seen.append(paths), str(tmp_path / "checkpoint"), "1 hour", most_files=2).awaitTermination(120)
+        return seen
+
+    tell(1, ("a", "2026-01-01T00:00:00Z"), ("b", "2026-01-01T00:00:00Z"), ("a", "2026-01-01T00:10:00Z"), ("c", "2026-01-01T00:20:00Z"))
+    assert run() == [["a", "b"], ["c"]]
+    tell(2, ("a", "2026-01-01T00:30:00Z"), ("d", "2026-01-01T00:40:00Z"))
+    assert run() == [["d"]]  # from the checkpoint, with its state
+    tell(3, ("e", "2026-01-01T09:00:00Z"))
+    assert run() == [["e"]]
+    tell(4, ("a", "2026-01-01T09:10:00Z"), ("e", "2026-01-01T09:10:00Z"))
+    assert run() == [["a"]]  # its state has gone; that of e hasn't
+    assert run() == []
+
+
+def test_batches_of_files_are_bounded(spark, tmp_path):
+    from tallyloom.streaming import ingest
+
+    for i in range(5):
+        put(tmp_path / "in", f"{i}.csv", "rt,area\n1,2\n")
+    seen: list = []
+    stream = ingest.stream_sources(spark, str(tmp_path / "in"), "*.csv", most_files=2)
+    ingest.consolidate(stream, lambda paths, n: seen.append((n, len(paths))), str(tmp_path / "checkpoint")).awaitTermination(120)
+    assert sum(n for _, n in seen) == 5 and max(n for _, n in seen) <= 2 and len({b for b, _ in seen}) >= 3
