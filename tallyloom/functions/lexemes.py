@@ -56,6 +56,10 @@ def _slow_float(text: str | None) -> tuple[float | None, str | None]:
     return (number, None) if exact == Decimal(repr(number)) else (None, "LOSSY_FLOAT_REJECTED")
 
 
+#: Plain numbers of 15 digits at most, without a power.
+_USUAL = r"\A[+\-]?(?:[0-9]{1,15}|(?=[0-9.]{3,16}\z)[0-9]+\.[0-9]+)\z"
+
+
 def exact_float(lexeme: Column) -> Column:
     """``value, code``: a double only if its shortest decimal form equals the lexeme.
 
@@ -80,10 +84,14 @@ def exact_float(lexeme: Column) -> Column:
         none = ~number & text.rlike("^[ -^`-~]+$") & ~text.rlike("(?i)nan|inf")
         return F.struct(F.when((text != "") & ~plain & ~none, text).alias("odd"), F.when(plain, text.try_cast("double")).alias("value"), F.when(none, "INVALID_NUMBER").alias("code"))
 
+    # Most are plain digits with or without a point: one look and a cast.
+    usual = lexeme.isNull() | lexeme.rlike(_USUAL)
     # The bound variable keeps the text from being trimmed again for each use.
-    found = F.transform(F.array(stripped(lexeme)), sorted_out)[0]
+    found = F.when(~usual, F.transform(F.array(stripped(lexeme)), sorted_out)[0])
+    odd = F.when(~usual, found["odd"])
     quick = F.struct(found["value"].alias("value"), found["code"].alias("code"))
-    return F.when(found["odd"].isNull(), quick).otherwise(slow(found["odd"]))
+    cast = F.struct(lexeme.try_cast("double").alias("value"), F.lit(None).cast("string").alias("code"))
+    return F.when(usual, cast).when(odd.isNull(), quick).otherwise(slow(odd))
 
 
 def integer_key(whole: Column) -> Column:
@@ -157,7 +165,7 @@ def bounded_integer(lexeme: Column) -> Column:
 
     # Most integers are plain digits: one look and a cast.
     plain = F.struct(lexeme.try_cast("decimal(38,0)").alias("value"), F.lit(None).cast("string").alias("code"))
-    return F.when(lexeme.rlike("^-?[0-9]{1,18}$"), plain).otherwise(F.transform(F.transform(F.array(_integer_parts(lexeme)), _read_integer), typed)[0])
+    return F.when(lexeme.isNull() | lexeme.rlike("^-?[0-9]{1,18}$"), plain).otherwise(F.transform(F.transform(F.array(_integer_parts(lexeme)), _read_integer), typed)[0])
 
 
 _DATE = r"[0-9]{4}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])"
@@ -193,7 +201,8 @@ def iso_timestamp(lexeme: Column) -> Column:
         .when(offset & outside, "ACQUIRED_AT_UTC_RANGE_UNORDERABLE")
         .when(~offset, "TIMESTAMP_TIMEZONE_MISSING")
     )
-    return F.struct(F.when(~outside, parsed).alias("value"), reliable.alias("reliable"), code.alias("code"))
+    none = F.struct(F.lit(None).cast("timestamp").alias("value"), F.lit(False).alias("reliable"), F.lit(None).cast("string").alias("code"))
+    return F.when(lexeme.isNull(), none).otherwise(F.struct(F.when(~outside, parsed).alias("value"), reliable.alias("reliable"), code.alias("code")))
 
 
 def strict_text(lexeme: Column, required: bool = False) -> Column:

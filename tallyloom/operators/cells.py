@@ -60,10 +60,25 @@ def data_cells(cells: DataFrame) -> DataFrame:
     return cells.join(filled.select("file_id", "row_no"), ["file_id", "row_no"], "left_semi")
 
 
+def field_columns(headers: DataFrame) -> DataFrame:
+    """``file_id, known, <field>...``: the column of each known field that a file has in one column only, and all of those."""
+    meaning = F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair])
+    named = headers.select("file_id", "col_no", meaning[T.normal_header(F.col("header"))].alias("semantic")).where("semantic is not null")
+    at = {f: F.when(F.col("semantic") == f, F.col("col_no")) for f in FIELDS}
+    columns = named.groupBy("file_id").agg(*[F.when(F.count(c) == 1, F.min(c)).alias(f"at_{f}") for f, c in at.items()])
+    known = F.array_compact(F.array(*[F.col(f"at_{f}") for f in FIELDS]))
+    return columns.withColumn("known", known).where(F.size("known") > 0)
+
+
 def wide_rows(cells: DataFrame, headers: DataFrame) -> DataFrame:
-    """One row for each data row, with a raw lexeme column for each known field."""
-    named = semantic_headers(headers).where("semantic is not null and code is null").select("file_id", "col_no", "semantic")
-    return data_cells(cells).join(named, ["file_id", "col_no"]).groupBy("file_id", "row_no").pivot("semantic", list(FIELDS)).agg(F.first("lexeme"))
+    """One row for each data row, with a raw lexeme column for each known field.
+
+    Cells are gathered to rows once; a row without any text, or without a cell in a known column, is none.
+    """
+    rows = cells.where("row_no > 0").groupBy("file_id", "row_no").agg(F.collect_list(F.struct("col_no", "lexeme")).alias("c"), F.max(F.col("lexeme") != "").alias("filled")).where("filled")
+    held = rows.join(field_columns(headers), "file_id").where(F.arrays_overlap("c.col_no", "known"))
+    cell = lambda at: F.when(F.col(at).isNotNull(), F.get(F.filter("c", lambda x: x["col_no"] == F.col(at)), F.lit(0))["lexeme"])
+    return held.select("file_id", "row_no", *[cell(f"at_{f}").alias(f) for f in FIELDS])
 
 
 def typed_rows(rows: DataFrame) -> DataFrame:
@@ -122,7 +137,8 @@ def unmapped_cells(cells: DataFrame, headers: DataFrame) -> DataFrame:
     """Cells of unknown columns, and beyond the header (as ``unmapped_column_N``), as metadata."""
     known = semantic_headers(headers).select("file_id", "col_no", "semantic", F.col("header").alias("label"))
     widths = header_widths(headers)
-    held = data_cells(cells).join(widths, "file_id").join(known, ["file_id", "col_no"], "left").where("semantic is null and lexeme <> ''")
+    # A cell with text makes its row a data row.
+    held = cells.where("row_no > 0 and lexeme <> ''").join(widths, "file_id").join(known, ["file_id", "col_no"], "left").where("semantic is null")
     beyond = F.col("col_no") > F.col("width")
     key = F.when(beyond, F.format_string("unmapped_column_%d", "col_no")).otherwise(F.col("label"))
     return held.select("file_id", key.alias("key"), F.col("lexeme").alias("value"), F.concat(F.lit("table:row:"), "row_no", F.lit(":column:"), "col_no").alias("source"), beyond.alias("beyond"))
