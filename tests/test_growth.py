@@ -29,3 +29,14 @@ def test_rows_are_gathered_from_cells_once(spark, tmp_path):
     assert got == [(1, 1, "1.5", "2"), (1, 4, "", None)]  # blank rows, rows of unknown columns and columns named twice give none
     unmapped = C.unmapped_cells(cells, headers)
     assert _plan(unmapped).count("Relation [") == 1
+
+
+def test_mapped_tables_are_read_once_for_peaks(spark, tmp_path):
+    rows = [(1, 1, 1, "1"), (1, 1, 2, "2"), (2, 1, 1, "1"), (2, 1, 2, "bad"), (3, 1, 1, ""), (4, 1, 1, "1"), (4, 1, 2, "2"), (4, 1, 3, "more"), (5, 1, 1, "3"), (5, 1, 2, "4"), (5, 2, 1, ""), (5, 2, 2, "")]
+    cells = _table(spark, tmp_path, "cells", [(f, "p", r, c, v) for f, r, c, v in rows], "file_id long, profile_id string, row_no int, col_no int, lexeme string")
+    columns = spark.createDataFrame([("p", 1, "retention_time"), ("p", 2, "area")], "profile_id string, position int, role string")
+    units = spark.createDataFrame([("p", "min", None)], "profile_id string, retention_time_unit string, area_unit string")
+    peaks, faults = M.mapped_peaks(cells, columns, units)
+    assert "lexeme" not in _plan(peaks)
+    assert sorted((r["file_id"], r["retention_time"], r["area"], r["observation_order"]) for r in peaks.collect()) == [(1, 1.0, 2.0, 1), (5, 3.0, 4.0, 1)]
+    assert sorted((r["file_id"], r["code"]) for r in faults.collect()) == [(2, "PEAK_MAPPING_NUMBER_INVALID"), (3, "PEAK_MAPPING_EMPTY_TABLE"), (4, "PEAK_MAPPING_EXTRA_CELLS")]
