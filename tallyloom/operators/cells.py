@@ -98,9 +98,11 @@ def typed_rows(rows: DataFrame) -> DataFrame:
 
 def value_issues(typed: DataFrame) -> DataFrame:
     """``file_id, row_no, field, code, severity`` of values that were not taken as they stand."""
-    cells = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f)["code"].alias("code")) for f in FIELDS])
-    trimmed = F.array(*[F.struct(F.lit(f).alias("field"), L.parse_lexeme(F.col(f"raw_{f}"))["code"].alias("code")) for f in (*NUMBERS, *INTEGERS, "acquired_at")])
-    return typed.select("file_id", "row_no", F.inline(F.concat(cells, trimmed))).where("code is not null").withColumn("severity", F.lit("warning"))
+    taken = {f: F.col(f)["code"] for f in FIELDS}
+    trimmed = {f: L.parse_lexeme(F.col(f"raw_{f}"))["code"] for f in (*NUMBERS, *INTEGERS, "acquired_at")}
+    told = typed.where(F.coalesce(*taken.values(), *trimmed.values()).isNotNull())  # most rows have no issue
+    found = F.array(*[F.when(c.isNotNull(), F.struct(F.lit(f).alias("field"), c.alias("code"))) for codes in (taken, trimmed) for f, c in codes.items()])
+    return told.select("file_id", "row_no", F.inline(F.array_compact(found))).withColumn("severity", F.lit("warning"))
 
 
 def raw_metadata(typed: DataFrame) -> DataFrame:

@@ -31,6 +31,14 @@ def test_rows_are_gathered_from_cells_once(spark, tmp_path):
     assert _plan(unmapped).count("Relation [") == 1
 
 
+def test_issues_are_told_after_rows_without_any_went(spark):
+    cells = spark.createDataFrame([(1, 1, 1, "1 "), (1, 2, 1, "2"), (1, 3, 1, "x")], "file_id long, row_no int, col_no int, lexeme string")
+    headers = spark.createDataFrame([(1, 1, "Area")], "file_id long, col_no int, header string")
+    issues = C.value_issues(C.typed_rows(C.wide_rows(cells, headers)))
+    assert "Generate inline" in _plan(issues) and "Filter isnotnull(code" not in _plan(issues)
+    assert sorted((r["row_no"], r["field"], r["code"]) for r in issues.collect()) == [(1, "area", "PARSE_LEXEME_WHITESPACE_TRIMMED"), (3, "area", "INVALID_NUMBER")]
+
+
 def test_mapped_tables_are_read_once_for_peaks(spark, tmp_path):
     rows = [(1, 1, 1, "1"), (1, 1, 2, "2"), (2, 1, 1, "1"), (2, 1, 2, "bad"), (3, 1, 1, ""), (4, 1, 1, "1"), (4, 1, 2, "2"), (4, 1, 3, "more"), (5, 1, 1, "3"), (5, 1, 2, "4"), (5, 2, 1, ""), (5, 2, 2, "")]
     cells = _table(spark, tmp_path, "cells", [(f, "p", r, c, v) for f, r, c, v in rows], "file_id long, profile_id string, row_no int, col_no int, lexeme string")
