@@ -58,11 +58,11 @@ def elect_sample_id(rows: DataFrame, stem: Column, place: list[str]) -> DataFram
 
     ``other_ids`` tells whether the file names further ids.
     """
-    whole = Window.partitionBy("file_id").orderBy(*place).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first = F.first("sample_id", ignorenulls=True).over(whole)
-    held = rows.withColumn("__first", first)
-    others = F.max(F.col("sample_id").isNotNull() & (F.col("sample_id") != F.col("__first"))).over(Window.partitionBy("file_id"))
-    return held.withColumn("other_ids", F.coalesce(others, F.lit(False))).withColumn("sample_id", F.coalesce("__first", stem)).drop("__first")
+    named = F.when(F.col("sample_id").isNotNull(), F.struct(*place, "sample_id"))
+    # One row for each file, joined back: a file's rows are never gathered, however many there are.
+    told = rows.groupBy(F.col("file_id").alias("__file")).agg(F.min(named).alias("__first"), (F.min("sample_id") != F.max("sample_id")).alias("__others")).where("__first is not null")
+    held = rows.join(told, rows["file_id"] == F.col("__file"), "left")
+    return held.withColumn("other_ids", F.coalesce("__others", F.lit(False))).withColumn("sample_id", F.coalesce("__first.sample_id", stem)).drop("__first", "__file", "__others")
 
 
 def ordered_distinct(value: str, place: list[str]) -> Column:

@@ -22,14 +22,18 @@ from tallyloom.plans.registered import query
 PROFILE = Profile("by_line", "csv", (("Flag", "detector"), ("Zeit (min)", "retention_time"), ("Fläche", "area"), ("Nr", "peak_number"), ("Notiz", "IGNORED")), "min", "mV.s")
 
 
-def _result_files(spark: SparkSession, sf_dir: str) -> str:
-    """A folder of result files: order lines in eight, one kind of them with another column, and customers in two."""
+#: Order lines in one result file, about: more lines are more files, as a batch of results grows.
+LINES_A_FILE = 500_000
+
+
+def _result_files(spark: SparkSession, sf_dir: str, n_mapped: int = 8) -> str:
+    """A folder of result files: order lines in eight (or ``n_mapped``), one kind of them with another column, and customers in two."""
     path = f"{shared_folder(spark).rstrip('/')}/tallyloom-{uuid.uuid4().hex}"
     line = A.table(spark, sf_dir, "lineitem")
     cells = line.select(F.col("l_returnflag").alias("Flag"), F.col("l_quantity").alias("Zeit (min)"), F.col("l_extendedprice").cast("decimal(18,2)").alias("Fläche"), F.col("l_linenumber").alias("Nr"), F.col("l_linestatus").alias("Notiz"))
     write = lambda df, name, n: df.repartition(n).write.option("header", True).csv(f"{path}/{name}")
-    write(cells.where("Nr <> 7"), "mapped", 8)
-    write(cells.where("Nr = 7").withColumn("more", F.lit("x")), "drifted", 2)
+    write(cells.where("Nr <> 7"), "mapped", n_mapped)
+    write(cells.where("Nr = 7").withColumn("more", F.lit("x")), "drifted", max(2, n_mapped // 4))
     write(A.table(spark, sf_dir, "customer").select("c_name", "c_acctbal"), "other", 2)
     return path
 
@@ -39,7 +43,8 @@ SELECT l_returnflag AS detector, count(*) AS n, CAST(sum(CAST(l_extendedprice AS
 FROM lineitem WHERE l_linenumber <> 7 GROUP BY 1""")
 def converted_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Peaks that a profile's conversion reads from files: those of the very headers, and no others."""
-    out = convert.convert(spark, [_result_files(spark, sf_dir)], Recipe(recursive=True, sort="filename", profiles=(PROFILE,)))
+    n_files = max(8, -(-A.table(spark, sf_dir, "lineitem").count() // LINES_A_FILE))
+    out = convert.convert(spark, [_result_files(spark, sf_dir, n_files)], Recipe(recursive=True, sort="filename", profiles=(PROFILE,)))
     peaks = out.peaks.groupBy("detector", "retention_time_unit", "area_unit")
     return peaks.agg(F.count("*").alias("n"), F.sum(F.col("area").cast("decimal(18,2)")).cast("double").alias("total"), F.sum("retention_time").alias("times"))
 

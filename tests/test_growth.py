@@ -48,3 +48,26 @@ def test_mapped_tables_are_read_once_for_peaks(spark, tmp_path):
     assert "lexeme" not in _plan(peaks)
     assert sorted((r["file_id"], r["retention_time"], r["area"], r["observation_order"]) for r in peaks.collect()) == [(1, 1.0, 2.0, 1), (5, 3.0, 4.0, 1)]
     assert sorted((r["file_id"], r["code"]) for r in faults.collect()) == [(2, "PEAK_MAPPING_NUMBER_INVALID"), (3, "PEAK_MAPPING_EMPTY_TABLE"), (4, "PEAK_MAPPING_EXTRA_CELLS")]
+
+
+def test_sample_ids_are_elected_without_gathering_a_file(spark):
+    rows = spark.createDataFrame([(1, 1, None), (1, 2, "b"), (1, 3, "a"), (2, 1, None), (3, 1, "c"), (3, 2, None)], "file_id long, row_no int, sample_id string")
+    from pyspark.sql import functions as F
+
+    out = O.elect_sample_id(rows, F.concat(F.lit("stem"), "file_id"), ["row_no"])
+    assert "Window" not in _plan(out)
+    assert sorted((r["file_id"], r["row_no"], r["sample_id"], r["other_ids"]) for r in out.collect()) == [
+        (1, 1, "b", True), (1, 2, "b", True), (1, 3, "b", True), (2, 1, "stem2", False), (3, 1, "c", False), (3, 2, "c", False),
+    ]
+
+
+def test_more_lines_are_more_files(spark, tmp_path, monkeypatch):
+    lines = [(str(k % 3), float(k % 40), k / 4, k % 7 + 1, "O") for k in range(700)]
+    spark.createDataFrame(lines, "l_returnflag string, l_quantity double, l_extendedprice double, l_linenumber int, l_linestatus string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([("c", 1.0), ("d", 2.0)], "c_name string, c_acctbal double").write.parquet(str(tmp_path / "customer.parquet"))
+    made = []
+    kept = registered_conversions._result_files
+    monkeypatch.setattr(registered_conversions, "_result_files", lambda *a: made.append(a[2]) or kept(*a))
+    monkeypatch.setattr(registered_conversions, "LINES_A_FILE", 50)
+    out = {r["detector"]: r["n"] for r in registered_conversions.converted_peaks(spark, str(tmp_path)).collect()}
+    assert made == [14] and out == {"0": 200, "1": 200, "2": 200}
