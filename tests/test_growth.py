@@ -50,6 +50,16 @@ def test_mapped_tables_are_read_once_for_peaks(spark, tmp_path):
     assert sorted((r["file_id"], r["code"]) for r in faults.collect()) == [(2, "PEAK_MAPPING_NUMBER_INVALID"), (3, "PEAK_MAPPING_EMPTY_TABLE"), (4, "PEAK_MAPPING_EXTRA_CELLS")]
 
 
+def test_profile_checks_gather_no_content_and_expand_nothing(spark):
+    columns = spark.createDataFrame([("a", 1, "retention_time"), ("a", 2, "area"), ("b", 1, "retention_time"), ("b", 3, "area"), ("c", 1, "area"), ("c", 2, "area")], "profile_id string, position int, role string")
+    profiles = spark.createDataFrame([("a", "csv", ["x", None]), ("b", "csv", ["x", None]), ("c", "csv", ["x", ""])], "profile_id string, source_format string, headers array<string>")
+    faults = M.profile_faults(columns, profiles)
+    assert "Window" not in _plan(faults) and "Expand" not in _plan(faults)
+    assert sorted((r["profile_id"], r["fault"]) for r in faults.collect()) == [
+        ("a", "CONTENT_REPEATED"), ("b", "CONTENT_REPEATED"), ("b", "POSITIONS_NOT_CONTIGUOUS"), ("c", "ROLE_MISSING_RETENTION_TIME"), ("c", "ROLE_REPEATED"),
+    ]
+
+
 def test_sample_ids_are_elected_without_gathering_a_file(spark):
     rows = spark.createDataFrame([(1, 1, None), (1, 2, "b"), (1, 3, "a"), (2, 1, None), (3, 1, "c"), (3, 2, None)], "file_id long, row_no int, sample_id string")
     from pyspark.sql import functions as F
