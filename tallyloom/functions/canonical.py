@@ -16,17 +16,17 @@ _SHORT = {'"': '\\"', "\\": "\\\\", "\b": "\\b", "\f": "\\f", "\n": "\\n", "\r":
 
 def json_text(value: Column) -> Column:
     """A string in quotes: what isn't printable ASCII as ``\\uXXXX`` in lower case, beyond the basic plane in pairs."""
-    def escaped(unit: Column) -> Column:
-        code = F.conv(unit, 16, 10).cast("int")
-        out = F.when(code.between(32, 126), F.char(code)).otherwise(F.concat(F.lit("\\u"), F.lower(unit)))
+    def escaped(part: Column) -> Column:
+        out = F.regexp_replace(F.lower(F.hex(F.encode(part, "UTF-16BE"))), "(.{4})", r"\\u$1")
         for plain, short in _SHORT.items():
-            out = F.when(code == ord(plain), F.lit(short)).otherwise(out)
-        return out
+            out = F.when(part == plain, F.lit(short)).otherwise(out)
+        return F.when(part.rlike(r"\A[ !#-\[\]-~]"), part).otherwise(out)
 
     plain = F.concat(F.lit('"'), value, F.lit('"'))
-    units = F.regexp_extract_all(F.hex(F.encode(value, "UTF-16BE")), F.lit("(.{4})"), F.lit(1))
-    slow = F.concat(F.lit('"'), F.array_join(F.transform(units, escaped), ""), F.lit('"'))
-    return F.when(value.rlike(r'^[ !#-\[\]-~]*$'), plain).otherwise(slow)
+    # Runs of plain characters stay as they are; of the others each is a part of its own.
+    parts = F.regexp_extract_all(value, F.lit(r"(?s)[ !#-\[\]-~]+|."), F.lit(0))
+    slow = F.concat(F.lit('"'), F.array_join(F.transform(parts, escaped), ""), F.lit('"'))
+    return F.when(value.rlike(r'\A[ !#-\[\]-~]*\z'), plain).otherwise(slow)
 
 
 def canonical_json(value: Column, kind: T.DataType) -> Column:

@@ -60,6 +60,16 @@ def test_profile_checks_gather_no_content_and_expand_nothing(spark):
     ]
 
 
+def test_escapes_touch_only_what_needs_them(spark):
+    import json
+
+    texts = ['plain', 'a"b\\c/d', "line\r\n\tend\n", "높이 🧪 x\x7f\x01\b\f", "", " é"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    out = rows.select("t", canonical.json_text(rows["t"]).alias("j"))
+    assert all(r["j"] == json.dumps(r["t"], ensure_ascii=True) for r in out.collect())
+    assert "conv(" not in _plan(out)
+
+
 def test_sample_ids_are_elected_without_gathering_a_file(spark):
     rows = spark.createDataFrame([(1, 1, None), (1, 2, "b"), (1, 3, "a"), (2, 1, None), (3, 1, "c"), (3, 2, None)], "file_id long, row_no int, sample_id string")
     from pyspark.sql import functions as F
