@@ -64,7 +64,7 @@ def root(nodes: DataFrame) -> str:
     return nodes.where("level = 0").first()["digest"]
 
 
-def differing_ranges(a: DataFrame, b: DataFrame, most_nodes: int = 100_000) -> tuple[list[str] | DataFrame, int, int]:
+def differing_ranges(a: DataFrame, b: DataFrame, most_nodes: int = 4_096) -> tuple[list[str] | DataFrame, int, int]:
     """Ranges whose rows differ between two trees of one depth, the depth, and how many nodes were compared.
 
     From the root on, a level's nodes are looked at only below nodes that differ. The ranges come as a list
@@ -102,6 +102,9 @@ def changes(reviewed: DataFrame, rebuilt: DataFrame, key: str, columns: list[str
     ``write_ranges``) are filtered on it in the scan. A null key is one key. Equal tables give no rows.
     """
     if trees is None:
+        # Both tables are written once: their columns, which may be digests of contents, aren't made again for each reading.
+        names = list(dict.fromkeys([key, *columns]))
+        reviewed, rebuilt = (cut(t.select(*names)) for t in (reviewed, rebuilt))
         depth = depth_for(max(reviewed.count(), rebuilt.count()), range_rows)
         trees = tuple(tree(t, _text(key), row_digest(columns), depth) for t in (reviewed, rebuilt))
     found, depth, _ = differing_ranges(*trees)

@@ -70,6 +70,22 @@ def test_escapes_touch_only_what_needs_them(spark):
     assert "conv(" not in _plan(out)
 
 
+def test_compared_tables_are_read_once(spark):
+    import pyspark.sql.functions as F
+
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def costly(x):
+        read.add(1)
+        return f"v{x}"
+
+    a = spark.range(500).withColumn("v", costly("id"))
+    found = merkle.changes(a, spark.range(500).withColumn("v", F.concat(F.lit("v"), F.when(F.col("id") == 7, 0).otherwise(F.col("id")))), "id", ["v"], range_rows=16)
+    assert [(r["id"], r["change"]) for r in found.collect()] == [(7, "changed")]
+    assert read.value == 500
+
+
 def test_sample_ids_are_elected_without_gathering_a_file(spark):
     rows = spark.createDataFrame([(1, 1, None), (1, 2, "b"), (1, 3, "a"), (2, 1, None), (3, 1, "c"), (3, 2, None)], "file_id long, row_no int, sample_id string")
     from pyspark.sql import functions as F
