@@ -8,13 +8,14 @@ from array import array
 from functools import lru_cache
 
 import numpy as np
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 #: Characters that are no white space in any version of Unicode. A byte-level BPE file always starts
 #: a new piece at a blank between two of them; the blank belongs to what follows.
 _INK = "!-~\u00a1-\u024f"
 _BREAK = re.compile(f"(?<=[{_INK}]) (?=[{_INK}])")
-_WORD = re.compile("[A-Za-z]*")
+#: Latin letters: a piece takes all that follow each other.
+_WORD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]*")
 _OTHER_BLANK = re.compile(f"[^{_INK}] | [^{_INK}]")
 #: How a byte-level vocabulary writes a blank (a fixed value).
 BLANK = "\u0120"
@@ -43,7 +44,7 @@ class TextTokenizer:
     library whole, as do all texts with other kinds of files.
     """
 
-    def __init__(self, path: str, most_pieces: int = 500_000, longest: int = 64) -> None:
+    def __init__(self, path: str, most_pieces: int = 1_000_000, longest: int = 64) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.library = Tokenizer.from_file(path)
@@ -51,6 +52,9 @@ class TextTokenizer:
         self.cuts = _splits_at_blanks(spec)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.most_pieces, self.longest = most_pieces, longest
+        byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # How the file's vocabulary writes the Latin letters beyond ASCII.
+        self.written = {c: byte_level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x250)}
         self.known: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
 
@@ -69,12 +73,12 @@ class TextTokenizer:
         end = _WORD.match(piece).end()
         if end == 0 or not piece[end : end + 1].isascii():
             return self._remember(self.known, piece, self._encode(f" {piece}"))
-        if end < len(piece):  # a word ends before any other ASCII character
+        if end < len(piece):  # a word ends before any ASCII character but a letter
             word, tail = piece[:end], piece[end:]
             found = (self.known.get(word) or self._after_blank(word)) + (self.tails.get(tail) or self._remember(self.tails, tail, self._encode(tail)))
             return self._remember(self.known, piece, found)
         # One word: straight to the vocabulary's merges.
-        return self._remember(self.known, piece, array("I", [t.id for t in self.model.tokenize(f"{BLANK}{piece}")]).tobytes())
+        return self._remember(self.known, piece, array("I", [t.id for t in self.model.tokenize(BLANK + (piece if piece.isascii() else piece.translate(self.written)))]).tobytes())
 
     def ids(self, text: str) -> np.ndarray:
         """The ids of a text, as unsigned 32-bit little-endian numbers."""
