@@ -52,15 +52,18 @@ def sectioned_result(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     pos = F.row_number().over(Window.partitionBy("file_id", "section").orderBy("line_no"))
     held = held.withColumn("n", pos)
     peak = held.where(F.col("section").startswith("Peak Table") & _field(F.col("line"), 0).rlike("^[0-9]+$"))
-    number = lambda k: L.exact_float(_field(F.col("line"), k))["value"]
     order = F.row_number().over(Window.partitionBy("file_id", "section").orderBy("line_no"))
+    # Numbered before they are typed: rows that went through an Arrow function would be dealt out again for the window.
+    peak = peak.select("file_id", "section", order.alias("observation_order"), F.split("line", "\t", -1).alias("c"))
+    number = lambda k: L.exact_float(F.get("c", F.lit(k)))["value"]
     peaks = peak.select(
-        "file_id", "section", _field(F.col("line"), 0).cast("int").alias("peak_number"), number(1).alias("retention_time"), number(2).alias("start_time"), number(3).alias("end_time"),
-        number(4).alias("area"), number(5).alias("height"), T.known_name(F.element_at(F.split("line", "\t", -1), -1)).alias("compound"), order.alias("observation_order"),
+        "file_id", "section", F.get("c", F.lit(0)).cast("int").alias("peak_number"), number(1).alias("retention_time"), number(2).alias("start_time"), number(3).alias("end_time"),
+        number(4).alias("area"), number(5).alias("height"), T.known_name(F.element_at("c", -1)).alias("compound"), "observation_order",
     )
     point = held.where(F.col("section").startswith("Chromatogram") & F.col("line").rlike(r"^[0-9.]+\t-?[0-9.]+$"))
     point_no = (F.row_number().over(Window.partitionBy("file_id", "section").orderBy("line_no")) - 1).alias("point_no")
-    points = point.select("file_id", "section", point_no, number(0).alias("x"), number(1).alias("y"))
+    point = point.select("file_id", "section", point_no, F.split("line", "\t", -1).alias("c"))
+    points = point.select("file_id", "section", "point_no", number(0).alias("x"), number(1).alias("y"))
     fact = held.where(~F.col("line").rlike(r"^[0-9]")).select("file_id", "section", "n", _field(F.col("line"), 0).alias("key"), _field(F.col("line"), 1).alias("value"))
     return peaks, points, fact
 
