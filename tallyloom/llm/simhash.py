@@ -195,6 +195,9 @@ def _link(nodes: DataFrame, carried: list[str], keys: Column, like: Callable, on
 
     In groups of ``large_group`` members or more the members of the leading class are compared with
     the others only. With ``sparse`` keys, of which few are shared, those of one node go first.
+
+    Spark sizes a table as before its variants were inlined, some seventy times too low: joins on them ask for a merge
+    join, as they would be broadcast otherwise.
     """
     # A row makes as many variants as it has bits or more: deal the rows over all tasks first.
     tasks = max(2, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -206,14 +209,14 @@ def _link(nodes: DataFrame, carried: list[str], keys: Column, like: Callable, on
         some = F.hash("node")
         twice = keyed.groupBy("key").agg(F.min(some).alias("n0"), F.max(some).alias("n1")).where("n0 <> n1").select("key")
         shared = cut(keyed.join(cut(twice), "key", "left_semi"))
-        keyed = shared.join(nodes.select("node", *carried), "node")
+        keyed = shared.hint("merge").join(nodes.select("node", *carried), "node")
     named = lambda prefix: lambda c: F.col(f"{prefix}_{c}")
 
     # Every member of a group against the group's pivot: a whole segment's pivot is any member, a
     # wildcard group's pivot any member with the bit unset.
     pivots = keyed.where("role <= 0").groupBy(F.col("key").alias("p_key")).agg(*[F.max_by(c, "node").alias(f"p_{c}") for c in ("node", *carried)])
     same = (F.col("key") == F.col("p_key")) & (F.col("node") != F.col("p_node")) & like(F.col, named("p"))
-    stars = keyed.where("role <> 0").join(pivots, same).select(F.col("node").alias("a"), F.col("p_node").alias("b")).distinct()
+    stars = keyed.where("role <> 0").hint("merge").join(pivots, same).select(F.col("node").alias("a"), F.col("p_node").alias("b")).distinct()
     stars = cut(verify(stars))
     first = cut(components(stars))
 
@@ -221,7 +224,7 @@ def _link(nodes: DataFrame, carried: list[str], keys: Column, like: Callable, on
     sizes = first.groupBy("root").agg(F.count("*").alias("size"))
     placed = first.join(sizes, "root")
     known = cut(nodes.join(placed, "node", "left").select("node", *inputs, F.coalesce("root", "node").alias("root"), F.coalesce("size", F.lit(1)).alias("size")))
-    keyed = shared.join(known, "node") if sparse else known.repartition(tasks, "node").select("node", *carried, "root", "size", F.inline(keys))
+    keyed = shared.hint("merge").join(known, "node") if sparse else known.repartition(tasks, "node").select("node", *carried, "root", "size", F.inline(keys))
     leads = keyed.groupBy("key").agg(F.count("*").alias("members"), F.max_by("root", "size").alias("lead")).where(F.col("members") >= large_group)
     held = keyed.join(leads.select(F.col("key").alias("k"), "lead"), F.col("key") == F.col("k"), "left")
     left = held.where("lead is null or root <> lead").select(*[F.col(c).alias(f"a_{c}") for c in ("key", "node", "root", "role", "segment", *carried)], "lead")
@@ -234,7 +237,7 @@ def _link(nodes: DataFrame, carried: list[str], keys: Column, like: Callable, on
     if once is not None:
         # Once for each pair: in the first segment that brings it together, from one side.
         meet = meet & once(a, b)
-    rest = left.join(right, meet).select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
+    rest = left.join(right.hint("merge"), meet).select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
     rest = verify(rest)
     stars = first.select(F.col("node").alias("a"), F.col("root").alias("b"))
     return components(stars.unionByName(rest.select("a", "b")))
